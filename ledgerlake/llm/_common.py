@@ -128,3 +128,12 @@ class SpanHasher:
         sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(self.values[data] * self.powers[: len(data)], out=sums[1:])
         return mix64((sums[ends] - sums[starts]) * self.inverses[starts] + (ends - starts).astype(np.uint64))
+
+
+def by_id(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """left_semi or left_anti join of docs with a one-column table of doc_ids; a null id equals a null id. Any columns of docs stay as they are."""
+    name = "_id"
+    while name in {c.lower() for c in docs.columns}:
+        name += "_"
+    ids = ids.toDF(name)
+    return docs.join(ids, docs["doc_id"].eqNullSafe(ids[name]), how)

@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .recipes import OP1_SQL, op1_chunk_recipe_dedup
 from .dac import op7_dac_tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_chunk_recipe_dedup": op1_chunk_recipe_dedup,
     "op7_dac_tokens": op7_dac_tokens,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_chunk_recipe_dedup": OP1_SQL,
+}
