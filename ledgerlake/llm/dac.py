@@ -144,25 +144,69 @@ class Shard:
 
 
 class _Encoder:
-    """Ids of whole texts. The normaliser and the splitter of the tokenizer treat white space as a border and drop it, so a text's ids are those of its blank-separated chunks in turn; each distinct chunk is encoded by the library once. Only blank, newline and tab are cut at, which are white space to every version of it."""
+    """Ids of whole texts. The normaliser and the splitter of the tokenizer treat white space as a border and drop it, so a text's ids are those of its blank-separated chunks in turn; each distinct chunk is encoded by the library once. Only blank, newline and tab are cut at, which are white space to every version of it.
+
+    The splitter also parts a letter from the marks of TAIL after it, and the normaliser lowers
+    case, so "Word," and "WORD" need no encoding of their own. Plain words are encoded many to a
+    call, with blanks between, and told apart by the vocabulary's word-end sign.
+    """
+
+    TAIL = ".,!?%&$#*;:"  # no mark of these begins a contraction or stands in a special token
+    WORDS_A_CALL = 256
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for x, i in vocab.items() if x.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {"": b""}
+        self.derived: list[str] = []
+
+    def _encode(self, new: set[str]) -> None:
+        plain, other = [], []
+        for x in new:
+            (plain if x.isalpha() and max(x) < "\u0130" and self.ends.any() else other).append(x)
+        lines = [" ".join(plain[lo : lo + self.WORDS_A_CALL]) for lo in range(0, len(plain), self.WORDS_A_CALL)]
+        for k, e in enumerate(self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)):
+            ids = np.array(e.ids, "<u4")
+            words, cuts, data = plain[k * self.WORDS_A_CALL : (k + 1) * self.WORDS_A_CALL], (4 * np.flatnonzero(self.ends[ids]) + 4).tolist(), ids.tobytes()
+            if len(cuts) != len(words):
+                raise ValueError("a plain word is not one word to this tokenizer")
+            self.known.update(zip(words, [data[a:b] for a, b in zip([0, *cuts], cuts)]))
+        for lo in range(0, len(other), 4096):
+            part = other[lo : lo + 4096]
+            for x, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
+                self.known[x] = np.array(e.ids, "<u4").tobytes()
+
+    def _learn(self, chunks: set[str]) -> None:
+        if len(self.known) > MOST_CACHED:
+            for x in self.derived:
+                del self.known[x]
+            self.derived = []
+            if len(self.known) > MOST_CACHED // 2:
+                self.known = {"": b""}
+        parts, need = {}, set()
+        for x in chunks - self.known.keys():
+            core = x.rstrip(self.TAIL)
+            if len(core) == len(x) or not core or not (core[-1].isalpha() and core[-1] < "\u0130"):
+                core = x
+            tail = x[len(core) :]
+            if core.isascii() and core.isalpha():
+                core = core.lower()
+            if core != x:
+                parts[x] = core, tail
+            need.update((core, tail))
+        self._encode(need - self.known.keys())
+        for x, (core, tail) in parts.items():
+            self.known[x] = self.known[core] + self.known[tail]
+        self.derived += parts
 
     def ids(self, texts: list[str], end: bytes) -> list[bytes]:
         chunks = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
-        new = list(set().union(*chunks) - self.known.keys())
-        if len(new) + len(self.known) > MOST_CACHED:
-            self.known = {"": b""}
-            new = list(set().union(*chunks) - self.known.keys())
-        for lo in range(0, len(new), 4096):
-            part = new[lo : lo + 4096]
-            for x, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.known[x] = np.array(e.ids, "<u4").tobytes()
+        self._learn(set().union(*chunks))
         get = self.known.__getitem__
         return [b"".join(map(get, c)) + end for c in chunks]
 

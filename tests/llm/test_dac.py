@@ -5,7 +5,7 @@ import pytest
 from ledgerlake.llm import dac
 from ledgerlake.llm._common import fresh_path
 
-TEXTS = ["", None, "It's  the\tend.\n\n<|endoftext|> x", "ÀÉ ß Σίσυφος ΟΔΟΣ́ ́a 漢字 123 4567's", "a" * 3000 + " b" * 500, "same", "same", "\x1c\x1d mid\x0bvt\x0cff ls　wide", "don't WE'LL 'S"]
+TEXTS = ["", None, "It's  the\tend.\n\n<|endoftext|> x", "ÀÉ ß Σίσυφος ΟΔΟΣ́ ́a 漢字 123 4567's", "a" * 3000 + " b" * 500, "same", "same", "\x1c\x1d mid\x0bvt\x0cff ls　wide", "don't WE'LL 'S", "İstanbul! ǅ. K? é... e\u0301, word\u0301. Ａ. ab1. 1. a.b, <|ENDOFTEXT|> <|endoftext|>! '. \u0958. x\u0338= ſ! ª º."]
 
 
 def expected(texts):
@@ -37,6 +37,13 @@ def test_ids_equal_the_library(spark):
         start += len(ids)
 
 
+def test_cache_is_bounded(monkeypatch):
+    monkeypatch.setattr(dac, "MOST_CACHED", 4)
+    e = dac._Encoder(__import__("public_tokenizers").path("word_bpe_49k.json"))
+    for t in ("One two three. four! five Six", "one Two three. Seven, six. six", "a b c d e f g h i", "One"):
+        assert np.frombuffer(e.ids([t], b"")[0], "<u4").tolist() == expected([t])[0][:-1]
+
+
 def test_empty_table(spark):
     path = fresh_path(spark, "t")
     dac.write_tokens(spark, spark.createDataFrame([], "doc_id long, text string"), path)
