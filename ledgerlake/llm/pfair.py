@@ -49,12 +49,12 @@ def period(sources: DataFrame, shares: Mapping[str, int], default_share: int = 1
 
 
 def schedule(docs: DataFrame, shares: Mapping[str, int], default_share: int = 1, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """One row per row of docs: doc_id, source, block, release, deadline, slot, at; the mixed stream is in order of (slot, at, doc_id).
+    """One row per row of docs: doc_id, source, block, release, deadline, slot, begins; the mixed stream is in order of (slot, begins, doc_id).
 
     A document lies in the block in which it begins and has length(text) + 1 characters (null
     text: 1); one that is longer than a block takes the place of the next ones. Null is a source
     like another, with the default share. Order within a source is that of md5(doc_id); rows
-    that repeat an id follow by length. at is the document's first character in its source.
+    that repeat an id follow by length. begins is the document's first character in its source.
     """
     n = docs.count()
     digits = 1
@@ -67,14 +67,14 @@ def schedule(docs: DataFrame, shares: Mapping[str, int], default_share: int = 1,
     sums = sums.select(F.col("source").alias("_source"), F.col("bucket").alias("_bucket"), (F.sum("size").over(Window.partitionBy("source").orderBy("bucket")) - F.col("size")).alias("before"))
     rows = rows.join(sums, F.col("source").eqNullSafe(F.col("_source")) & (F.col("bucket") == F.col("_bucket")))
     order = Window.partitionBy("source", "bucket").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("at", F.col("before") + F.sum("size").over(order) - F.col("size")).withColumn("block", F.expr(f"at div {int(block_chars)}"))
+    rows = rows.withColumn("begins", F.col("before") + F.sum("size").over(order) - F.col("size")).withColumn("block", F.expr(f"begins div {int(block_chars)}"))
     cycle = period(docs, shares, default_share)
     share = cycle.select(F.col("source").alias("_s"), "share", "total").distinct()
-    rows = rows.select("doc_id", "source", "at", "block").join(F.broadcast(share), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    rows = rows.select("doc_id", "source", "begins", "block").join(F.broadcast(share), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     cycle = cycle.select(F.col("source").alias("_s"), "nth", F.col("slot").alias("_slot"), F.col("deadline").alias("_deadline"))
     out = rows.join(F.broadcast(cycle), F.col("source").eqNullSafe(F.col("_s")) & (F.col("block") % F.col("share") == F.col("nth")))
     turn = F.expr("(block div share) * total")
-    return out.select("doc_id", "source", "block", F.expr("block * total div share").alias("release"), (turn + F.col("_deadline")).alias("deadline"), (turn + F.col("_slot")).alias("slot"), "at")
+    return out.select("doc_id", "source", "block", F.expr("block * total div share").alias("release"), (turn + F.col("_deadline")).alias("deadline"), (turn + F.col("_slot")).alias("slot"), "begins")
 
 
 def mixed(docs: DataFrame, shares: Mapping[str, int], default_share: int = 1, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -82,25 +82,31 @@ def mixed(docs: DataFrame, shares: Mapping[str, int], default_share: int = 1, bl
     name = "_place"
     while any(c.lower().startswith(name) for c in docs.columns):
         name += "_"
-    plan = schedule(docs, shares, default_share, block_chars).groupBy("doc_id").agg(F.min(F.struct("slot", "at")).alias(name)).withColumnRenamed("doc_id", name + "id")
+    plan = schedule(docs, shares, default_share, block_chars).groupBy("doc_id").agg(F.min(F.struct("slot", "begins")).alias(name)).withColumnRenamed("doc_id", name + "id")
     out = docs.join(plan, docs["doc_id"].eqNullSafe(plan[name + "id"]))
-    return out.orderBy(f"{name}.slot", f"{name}.at", "doc_id").drop(name, name + "id")
+    return out.orderBy(f"{name}.slot", f"{name}.begins", "doc_id").drop(name, name + "id")
 
 
 def op4_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schedule(table(spark, sf_dir, "documents"), SHARES)
 
 
-_CASES = " ".join(f"WHEN '{k}' THEN {v}" for k, v in SHARES.items())
-OP4_SQL = f"""
+OP4_SQL = """
 WITH RECURSIVE shares AS (
-  SELECT source, CASE source {_CASES} ELSE 1 END::BIGINT AS share FROM (SELECT DISTINCT source FROM documents)),
+  SELECT source, CASE source CASES ELSE 1 END::BIGINT AS share FROM (SELECT DISTINCT source FROM documents)),
 ranked AS (SELECT source, share, row_number() OVER (ORDER BY source NULLS FIRST) AS k, (sum(share) OVER ())::BIGINT AS total FROM shares),
-steps(t, pick, nth, due) AS (
-  SELECT -1::BIGINT, NULL::BIGINT, NULL::BIGINT, NULL::BIGINT, [0::BIGINT FOR x IN range(count(*))] FROM ranked
+lists AS (SELECT list(share ORDER BY k) AS shares, list(source ORDER BY k) AS sources, sum(share)::BIGINT AS total FROM ranked),
+steps(t, pick, nth, placed) AS (
+  SELECT -1::BIGINT, NULL::STRUCT(due BIGINT, k BIGINT), NULL::BIGINT, list_transform(shares, lambda x: 0::BIGINT) FROM lists
   UNION ALL
-  SELECT t + 1, p.k, placed[p.k], p.due, [c + (i = p.k)::BIGINT FOR c, i IN placed]
-  FROM (SELECT t, placed, (SELECT min({{'due': CASE WHEN placed[k] * total // share <= t + 1 THEN ((placed[k] + 1) * total + share - 1) // share ELSE 9 * total END, 'k': k}}) FROM ranked) AS p
-        FROM steps WHERE t + 1 < (SELECT max(total) FROM ranked)))
-SELECT 1
-"""
+  SELECT t + 1, p, placed[p.k], list_transform(placed, lambda n, i: n + (i = p.k)::BIGINT)
+  FROM (SELECT t, placed, list_min(list_transform(placed, lambda n, i: {'due': CASE WHEN n * total // shares[i] <= t + 1 THEN ((n + 1) * total + shares[i] - 1) // shares[i] ELSE 9 * total END, 'k': i})) AS p
+        FROM steps, lists WHERE t + 1 < total) q),
+cycle AS (SELECT sources[pick.k] AS source, shares[pick.k] AS share, total, t AS slot, nth, pick.due AS due FROM steps, lists WHERE pick IS NOT NULL),
+placed AS (
+  SELECT doc_id, source, (sum(size) OVER (PARTITION BY source ORDER BY md5(coalesce(doc_id::VARCHAR, '')), doc_id, size ROWS UNBOUNDED PRECEDING) - size)::BIGINT AS begins
+  FROM (SELECT doc_id, source, length(coalesce(text, '')) + 1 AS size FROM documents))
+SELECT doc_id, p.source, begins // BLOCK AS block, (begins // BLOCK) * total // share AS release,
+       (begins // BLOCK) // share * total + due AS deadline, (begins // BLOCK) // share * total + slot AS slot, begins
+FROM placed p JOIN cycle c ON p.source IS NOT DISTINCT FROM c.source AND (begins // BLOCK) % share = nth
+""".replace("BLOCK", str(BLOCK_CHARS)).replace("CASES", " ".join(f"WHEN '{k}' THEN {v}" for k, v in SHARES.items()))

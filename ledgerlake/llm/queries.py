@@ -6,14 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .recipes import OP1_SQL, op1_chunk_recipe_dedup
 from .dac import op7_dac_tokens
+from .pfair import OP4_SQL, op4_pfair_mix
+from .recipes import OP1_SQL, op1_chunk_recipe_dedup
+from .site_lines import OP9_SQL, op9_site_line_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chunk_recipe_dedup": op1_chunk_recipe_dedup,
+    "op4_pfair_mix": op4_pfair_mix,
     "op7_dac_tokens": op7_dac_tokens,
+    "op9_site_line_dedup": op9_site_line_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_chunk_recipe_dedup": OP1_SQL,
+    "op4_pfair_mix": OP4_SQL,
+    "op9_site_line_dedup": OP9_SQL,
 }

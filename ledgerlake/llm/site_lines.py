@@ -24,7 +24,7 @@ def page_lines(html: Column) -> Column:
     """The trimmed lines of a page that are not empty, in order; none for null."""
     text = F.regexp_replace(F.coalesce(html, F.lit("")), HIDDEN, " ")
     text = F.regexp_replace(F.regexp_replace(text, BREAKS, "\n"), TAG, "")
-    return F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(" \t\r\u00a0"))), lambda x: x != "")
 
 
 def drop_site_lines(pages: DataFrame, ratio_percent: int = 20, least_pages: int = 3) -> DataFrame:
@@ -55,7 +55,7 @@ def op9_site_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP9_SQL = f"""
 WITH l AS (
   SELECT row_number() OVER () AS page, page_id, lower(nullif(regexp_extract(coalesce(url, ''), '{HOST}', 2), '')) AS host,
-         list_filter(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '{HIDDEN}', ' ', 'g'), '{BREAKS}', chr(10), 'g'), '{TAG}', '', 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> '') AS lines
+         list_filter(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '{HIDDEN}', ' ', 'g'), '{BREAKS}', chr(10), 'g'), '{TAG}', '', 'g'), chr(10)), lambda x: trim(x, chr(32) || chr(9) || chr(13) || chr(160))), lambda x: x <> '') AS lines
   FROM pages),
 sized AS (SELECT host, count(*) AS pages FROM l WHERE host IS NOT NULL GROUP BY host),
 held AS (SELECT host, line, count(*) AS holding FROM (SELECT host, unnest(list_distinct(lines)) AS line FROM l WHERE host IS NOT NULL) GROUP BY ALL),
