@@ -16,6 +16,7 @@ any store that Spark reaches, and commit whole or not at all.
 
 from __future__ import annotations
 
+import gc
 import os
 import struct
 import zlib
@@ -156,21 +157,25 @@ class _Encoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for x, i in vocab.items() if x.endswith("</w>")]] = True
+        self.plain = bool(self.ends.any())
+        self.words = Tokenizer.from_file(path)  # for words that the normaliser leaves as they are
+        self.words.normalizer = None
+        self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.known: dict[str, bytes] = {"": b""}
         self.derived: list[str] = []
 
     def _encode(self, new: set[str]) -> None:
         plain, other = [], []
         for x in new:
-            (plain if x.isalpha() and max(x) < "\u0130" and self.ends.any() else other).append(x)
+            (plain if self.plain and x.isalpha() and (x.isascii() or max(x) < "\u0130") and x.lower() == x else other).append(x)
         lines = [" ".join(plain[lo : lo + self.WORDS_A_CALL]) for lo in range(0, len(plain), self.WORDS_A_CALL)]
-        for k, e in enumerate(self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)):
+        for k, e in enumerate(self.words.encode_batch_fast(lines, add_special_tokens=False)):
             ids = np.array(e.ids, "<u4")
             words, cuts, data = plain[k * self.WORDS_A_CALL : (k + 1) * self.WORDS_A_CALL], (4 * np.flatnonzero(self.ends[ids]) + 4).tolist(), ids.tobytes()
             if len(cuts) != len(words):
@@ -181,34 +186,47 @@ class _Encoder:
             for x, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
                 self.known[x] = np.array(e.ids, "<u4").tobytes()
 
-    def _learn(self, chunks: set[str]) -> None:
-        if len(self.known) > MOST_CACHED:
-            for x in self.derived:
-                del self.known[x]
-            self.derived = []
-            if len(self.known) > MOST_CACHED // 2:
-                self.known = {"": b""}
+    def _learn(self, chunks: list[str]) -> None:
         parts, need = {}, set()
-        for x in chunks - self.known.keys():
-            core = x.rstrip(self.TAIL)
-            if len(core) == len(x) or not core or not (core[-1].isalpha() and core[-1] < "\u0130"):
-                core = x
-            tail = x[len(core) :]
-            if core.isascii() and core.isalpha():
-                core = core.lower()
+        for x in chunks:
+            if x.isascii() and x.isalpha():
+                core, tail = x.lower(), ""
+            else:
+                core, tail = x.rstrip(self.TAIL), ""
+                if len(core) < len(x) and core and core[-1].isalpha() and core[-1] < "\u0130":
+                    tail = x[len(core) :]
+                else:
+                    core = x
+                if core.isascii() and core.isalpha():
+                    core = core.lower()
             if core != x:
                 parts[x] = core, tail
-            need.update((core, tail))
+                need.add(tail)
+            need.add(core)
         self._encode(need - self.known.keys())
+        known = self.known
         for x, (core, tail) in parts.items():
-            self.known[x] = self.known[core] + self.known[tail]
+            known[x] = known[core] + known[tail]
         self.derived += parts
 
     def ids(self, texts: list[str], end: bytes) -> list[bytes]:
-        chunks = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
-        self._learn(set().union(*chunks))
-        get = self.known.__getitem__
-        return [b"".join(map(get, c)) + end for c in chunks]
+        gc.disable()  # of the many objects made here none is in a cycle
+        try:
+            chunks = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
+            own = dict.fromkeys(set().union(*chunks))
+            own.update(zip(own, map(self.known.get, own)))
+            if new := [x for x, ids in own.items() if ids is None]:
+                self._learn(new)
+                own.update(zip(new, map(self.known.__getitem__, new)))
+            if len(self.known) > MOST_CACHED:
+                for x in self.derived:
+                    del self.known[x]
+                self.derived = []
+                if len(self.known) > MOST_CACHED // 2:
+                    self.known = {"": b""}
+            return [b"".join(map(own.__getitem__, c)) + end for c in chunks]
+        finally:
+            gc.enable()
 
 
 _ENCODERS: dict[str, _Encoder] = {}
@@ -247,7 +265,7 @@ def write_tokens(spark: SparkSession, docs: DataFrame, path: str, tokenizer_path
             return row
 
         for batch in batches:
-            for lo, hi in slices(batch["text"], 1 << 21, 1024):
+            for lo, hi in slices(batch["text"], 1 << 22):
                 for doc, tokens in zip(batch["doc_id"][lo:hi].to_pylist(), encode_texts(batch["text"][lo:hi].to_pylist(), end)):
                     held.append(tokens)
                     ids.append(doc)
