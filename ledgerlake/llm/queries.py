@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .dac import op7_dac_tokens
+from .langid import op10_centroid_langid
 from .pfair import OP4_SQL, op4_pfair_mix
 from .recipes import OP1_SQL, op1_chunk_recipe_dedup
 from .site_lines import OP9_SQL, op9_site_line_dedup
@@ -16,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_pfair_mix": op4_pfair_mix,
     "op7_dac_tokens": op7_dac_tokens,
     "op9_site_line_dedup": op9_site_line_dedup,
+    "op10_centroid_langid": op10_centroid_langid,
 }
 
 ORACLE_SQL: dict[str, str] = {
