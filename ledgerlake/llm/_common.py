@@ -123,12 +123,18 @@ class SpanHasher:
                 out[1:] = np.uint64(base)
                 setattr(self, name, np.multiply.accumulate(out))
 
-    def spans(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    def sums(self, data: np.ndarray) -> np.ndarray:
         self._grow(len(data) + 1)
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(self.values[data] * self.powers[: len(data)], out=sums[1:])
+        out = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(self.values[data] * self.powers[: len(data)], out=out[1:])
+        return out
+
+    def of_sums(self, sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return mix64((sums[ends] - sums[starts]) * self.inverses[starts] + (ends - starts).astype(np.uint64))
 
+    def spans(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return self.of_sums(self.sums(data), starts, ends)
+
 
 def by_id(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     """left_semi or left_anti join of docs with a one-column table of doc_ids; a null id equals a null id. Any columns of docs stay as they are."""

@@ -11,9 +11,11 @@ from .langid import op10_centroid_langid
 from .pfair import OP4_SQL, op4_pfair_mix
 from .recipes import OP1_SQL, op1_chunk_recipe_dedup
 from .site_lines import OP9_SQL, op9_site_line_dedup
+from .toxicity import op3_fm_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chunk_recipe_dedup": op1_chunk_recipe_dedup,
+    "op3_fm_toxicity": op3_fm_toxicity,
     "op4_pfair_mix": op4_pfair_mix,
     "op7_dac_tokens": op7_dac_tokens,
     "op9_site_line_dedup": op9_site_line_dedup,
