@@ -19,6 +19,8 @@ BREAKS = r"(?i)</?(p|div|li|ul|ol|br|h[1-6]|title|head|body|article|section|nav|
 TAG = r"<[^>]*>"
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#@]*@)?([^/?#:@]+)"
 
+BROADCAST_BYTES = 32 << 20
+
 
 def page_lines(html: Column) -> Column:
     """The trimmed lines of a page that are not empty, in order; none for null."""
@@ -42,7 +44,10 @@ def drop_site_lines(pages: DataFrame, ratio_percent: int = 20, least_pages: int
     held = held.groupBy("host", "line").agg(F.count(F.lit(1)).alias("holding")).where(F.col("holding") >= least_pages)
     drop = held.join(sized, "host").where(F.col("holding") * 100 > F.col("pages") * ratio_percent)
     drop = drop.groupBy("host").agg(F.collect_list("line").alias("drop"))
-    out = lines.join(drop, "host", "left").withColumn("drop", F.coalesce("drop", F.array().cast("array<string>")))
+    drop = staged(pages.sparkSession, drop, "drop")
+    size = drop.agg(F.sum(F.length(F.concat_ws("", "drop")) * 4 + F.size("drop") * 16 + 64)).first()[0] or 0
+    # A small table goes to every task; beyond that the pages are dealt by host, and AQE splits a host with many.
+    out = lines.join(F.broadcast(drop) if size <= BROADCAST_BYTES else drop, "host", "left").withColumn("drop", F.coalesce("drop", F.array().cast("array<string>")))
     out = out.withColumn("rest", F.filter("lines", lambda x: ~F.array_contains("drop", x)))
     n = F.size("lines").cast("long")
     return out.select("page_id", "host", n.alias("n_lines"), (n - F.size("rest")).alias("n_dropped"), F.array_join("rest", "\n").alias("text"))

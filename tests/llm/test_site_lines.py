@@ -21,5 +21,12 @@ def test_lines_above_the_ratio_go(spark):
     assert site_lines.drop_site_lines(pages(spark, rows)).count() == len(rows)
 
 
+def test_same_rows_without_broadcast(spark, monkeypatch):
+    rows = [(i, f"http://h{i % 3}.example/{i}", f"<p>menu {i % 3}</p><p>own {i}</p>") for i in range(60)]
+    want = sorted(map(tuple, site_lines.drop_site_lines(pages(spark, rows)).collect()))
+    monkeypatch.setattr(site_lines, "BROADCAST_BYTES", 0)
+    assert sorted(map(tuple, site_lines.drop_site_lines(pages(spark, rows)).collect())) == want
+
+
 def test_empty_table(spark):
     assert site_lines.drop_site_lines(pages(spark, [])).count() == 0
