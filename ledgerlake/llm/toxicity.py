@@ -142,7 +142,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Machine
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi in slices(batch["text"], 1 << 22):
+            for lo, hi in slices(batch["text"], 1 << 20):
                 rows, found, times = terms(batch["text"][lo:hi])
                 cuts = np.searchsorted(rows, np.arange(hi - lo + 1))
                 packed = [pa.array([x[a:b].astype("<u4").tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary()) for x in (found, times)]
@@ -160,7 +160,7 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi in slices(batch["text"], 1 << 22):
+            for lo, hi in slices(batch["text"], 1 << 20):
                 s = shared.value.scores(batch["text"][lo:hi])
                 yield pa.RecordBatch.from_arrays([batch["doc_id"][lo:hi], pa.array(s), pa.array((s >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
 
