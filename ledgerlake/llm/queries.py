@@ -10,6 +10,7 @@ from .dac import op7_dac_tokens
 from .langid import op10_centroid_langid
 from .near_dups import op6_hamming_near_dups
 from .pfair import OP4_SQL, op4_pfair_mix
+from .pieces import op5_nbest_pieces
 from .recipes import OP1_SQL, op1_chunk_recipe_dedup
 from .site_lines import OP9_SQL, op9_site_line_dedup
 from .toxicity import op3_fm_toxicity
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chunk_recipe_dedup": op1_chunk_recipe_dedup,
     "op3_fm_toxicity": op3_fm_toxicity,
     "op4_pfair_mix": op4_pfair_mix,
+    "op5_nbest_pieces": op5_nbest_pieces,
     "op6_hamming_near_dups": op6_hamming_near_dups,
     "op7_dac_tokens": op7_dac_tokens,
     "op9_site_line_dedup": op9_site_line_dedup,
