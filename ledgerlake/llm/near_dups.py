@@ -9,9 +9,10 @@ Sets of Jaccard similarity 0.85 meet but for a chance of 6e-6, as chunks beyond
 count too. Links are then confirmed on full sets.
 
 No bucket is paired out. Equal sets are one class. In each bucket every class is held against one
-chosen member; the best such pair of each class is confirmed first. Only where a bucket still
-holds more than one component are those outside its largest component compared with the
-rest, in blocks of bounded size, by signature and set size; pairs that pass are confirmed too.
+chosen member; the best such pair of each class is confirmed first, then those between
+different components. Only where a bucket holds more than one component are the members outside
+its largest one compared with the rest, in blocks of bounded size, by signature, set size and full
+set, in place: blocks give links, not candidates.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ CHUNKS, WIDTH = 8, 6
 SYMBOLS = CHUNKS * WIDTH
 FAR = 20  # pairs of larger signature distance are not confirmed: chance 1e-6 at similarity 0.85
 PERCENT = 85
-BLOCK = 512
+BLOCK = 256
 BROADCAST_ROWS = 1 << 21
 
 _WORD = np.array([not (x == 0x20 or 0x09 <= x <= 0x0D) for x in range(256)])
@@ -108,9 +109,10 @@ def _keys(classes: DataFrame) -> DataFrame:
             for lo in range(0, batch.num_rows, 2048):
                 part = batch.slice(lo, 2048)
                 keys = bucket_keys(np.frombuffer(b"".join(part["sig"].to_pylist()), "<u2").reshape(-1, SYMBOLS))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(part["cid"].to_numpy(), keys.shape[1]))], ["key", "cid"])
+                slots = np.tile(np.arange(keys.shape[1], dtype=np.int32), len(keys))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(slots), pa.array(np.repeat(part["cid"].to_numpy(), keys.shape[1]))], ["key", "slot", "cid"])
 
-    return classes.select("cid", "sig").mapInArrow(run, "key long, cid long")
+    return classes.select("cid", "sig").mapInArrow(run, "key long, slot int, cid long")
 
 
 def _near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -128,72 +130,130 @@ def _near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return pairs.where(fits).select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, distance int").groupBy("a", "b").agg(F.min("distance").alias("distance"))
 
 
-def _linked(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Of pairs a, b those whose full sets are similar enough. Sets are made again from the texts of these documents alone."""
-    wanted = staged(pairs.sparkSession, pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct(), "wanted")
+def _sets(wanted: DataFrame, docs: DataFrame) -> DataFrame:
+    """cid, set of the documents that wanted (cid) names, made again from their texts."""
+    wanted = staged(docs.sparkSession, wanted.distinct(), "wanted")
     few = wanted.count() <= BROADCAST_ROWS  # 16 MB of ids at most go to every task; beyond that texts are dealt by id
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi in slices(batch["text"], 1 << 20):
                 yield pa.RecordBatch.from_arrays([batch["doc_id"][lo:hi], pa.array([s.tobytes() for s in shingle_sets(batch["text"][lo:hi])], pa.binary())], ["cid", "set"])
 
-    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    found = by_id(docs, F.broadcast(wanted) if few else wanted, "left_semi").mapInArrow(run, "cid long, set binary")
+    return staged(docs.sparkSession, found, "sets")
+
+
+def _similar(x: np.ndarray, y: np.ndarray) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= PERCENT * (len(x) + len(y) - both)
+
+
+def _linked(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """Of pairs a, b those whose full sets are similar enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            on = []
-            for x, y in zip(batch["seta"], batch["setb"]):
-                x, y = (np.frombuffer(z.as_buffer(), np.uint64) for z in (x, y))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                on.append(100 * both >= PERCENT * (len(x) + len(y) - both))
+            on = [_similar(*(np.frombuffer(z.as_buffer(), np.uint64) for z in both)) for both in zip(batch["seta"], batch["setb"])]
             yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array(on, pa.bool_()))
 
-    found = by_id(docs, F.broadcast(wanted) if few else wanted, "left_semi").mapInArrow(sets, "cid long, set binary")
-    found = staged(pairs.sparkSession, found, "sets")
+    found = _sets(pairs.select(F.col("a").alias("cid")).union(pairs.select("b")), docs)
     for x in "ab":
         pairs = pairs.join(found.select(F.col("cid").alias(x), F.col("set").alias(f"set{x}")), x)
-    return pairs.select("a", "b", "seta", "setb").mapInArrow(confirm, "a long, b long").distinct()
-
-
-def _blocks(open_members: DataFrame) -> DataFrame:
-    """Pairs a, b of one bucket but different components that sizes and signatures allow. open_members: key, cid, component, n_shingles, sig, main (its largest component), size, others (how many are outside that)."""
-    m = open_members.withColumn("minor", F.col("component") != F.col("main"))
+    return pairs.select("a", "b", "seta", "setb").mapInArrow(run, "a long, b long").distinct()
+
+
+def _first_slot(same: np.ndarray) -> np.ndarray:
+    """For rows of equal or differing values, the first bucket that both signatures of the row share (CHUNKS * WIDTH: none)."""
+    missing = WIDTH - same.reshape(-1, CHUNKS, WIDTH).sum(2)
+    chunk = (missing <= 1).argmax(1)
+    row = np.arange(len(same))
+    slot = chunk * WIDTH + same.reshape(-1, CHUNKS, WIDTH)[row, chunk].argmin(1) * (missing[row, chunk] == 1)
+    return np.where(missing[row, chunk] <= 1, slot, SYMBOLS)
+
+
+def _candidates(slot: int, left: np.ndarray, component: np.ndarray, n: np.ndarray, sig: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Of a block, each left member with the right ones of other components that sizes and signatures allow; a pair counts in the first bucket it shares only."""
+    r = np.flatnonzero(~left)
+    for k in np.flatnonzero(left):
+        o = r[(component[r] != component[k]) & (np.minimum(n[r], n[k]) * 100 >= np.maximum(n[r], n[k]) * PERCENT)]
+        same = sig[o] == sig[k]
+        on = (SYMBOLS - same.sum(1) <= FAR) & (_first_slot(same) == slot)
+        if on.any():
+            yield int(k), o[on]
+
+
+def _each_block(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tuple]:
+    """Key and rows of each block; rows of one block follow each other."""
+    now, held = None, []
+    for batch in batches:
+        for key, slot, i, j, *rest in zip(*(batch[c].to_pylist() for c in ("key", "slot", "i", "j", *columns))):
+            if (key, slot, i, j) != now:
+                if now and any(r[1] for r in held):
+                    yield now, list(zip(*held))
+                now, held = (key, slot, i, j), []
+            held.append(rest)
+    if now and any(r[1] for r in held):
+        yield now, list(zip(*held))
+
+
+def _beyond_stars(opened: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links a, b between members of one bucket but different components. opened: key, slot, cid, component, n_shingles, sig, main (its largest component), size, others (how many are outside that).
+
+    Members outside main are compared with all, in blocks of about BLOCK x BLOCK. A first pass, over signatures, finds which members of a block have anyone to be compared with; only their sets go to the
+    second, which confirms pairs in place and returns one link for each two components it joins.
+    """
+    m = opened.withColumn("minor", F.col("component") != F.col("main"))
     rows, columns = F.expr(f"others div {BLOCK} + 1"), F.expr(f"size div {BLOCK} + 1")
     own_row, own_column = F.pmod(F.xxhash64("cid", F.lit(1)), rows), F.pmod(F.xxhash64("cid", F.lit(2)), columns)
     kept = ["cid", "component", "n_shingles", "sig"]
-    left = m.where("minor").select("key", own_row.alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), columns - 1)).alias("j"), *kept, F.lit(True).alias("left"))
-    right = m.select("key", F.explode(F.sequence(F.lit(0).cast("long"), rows - 1)).alias("i"), own_column.alias("j"), *kept, F.lit(False).alias("left"))
-
-    def compare(group: tuple[list[int], list[bool], list[int], list[int], list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-        cid, left, component, n = (np.array(x) for x in group[:4])
-        sig = np.frombuffer(b"".join(group[4]), "<u2").reshape(-1, SYMBOLS)
-        r, found = np.flatnonzero(~left), []
-        for k in np.flatnonzero(left):
-            on = (component[r] != component[k]) & (np.minimum(n[r], n[k]) * 100 >= np.maximum(n[r], n[k]) * PERCENT)
-            o = r[on]
-            o = o[(sig[o] != sig[k]).sum(1) <= FAR]
-            found.append(np.stack((np.minimum(cid[o], cid[k]), np.maximum(cid[o], cid[k])), 1))
-        both = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-        return both[:, 0], both[:, 1]
+    zero = F.lit(0).cast("long")
+    left = m.where("minor").select("key", "slot", own_row.alias("i"), F.explode(F.sequence(zero, columns - 1)).alias("j"), *kept, F.lit(True).alias("left"))
+    right = m.select("key", "slot", F.explode(F.sequence(zero, rows - 1)).alias("i"), own_column.alias("j"), *kept, F.lit(False).alias("left"))
+    names = ["cid", "left", "component", "n_shingles", "sig"]
+
+    def arrays(block: list) -> tuple:
+        return *(np.array(x) for x in block[1:4]), np.frombuffer(b"".join(block[4]), "<u2").reshape(-1, SYMBOLS)
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (key, slot, i, j), block in _each_block(batches, names):
+            on = set()
+            for k, others in _candidates(slot, *arrays(block)):
+                on.add(k)
+                on.update(others.tolist())
+            if on:
+                on, n = sorted(on), len(on)
+                same = [pa.array([x] * n, t) for x, t in ((key, pa.int64()), (slot, pa.int32()), (i, pa.int64()), (j, pa.int64()))]
+                own = [pa.array([c[k] for k in on], t) for c, t in zip(block, (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary()))]
+                yield pa.RecordBatch.from_arrays([*same, *own], ["key", "slot", "i", "j", *names])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, ([], [], [], [], [])
-        for batch in batches:
-            columns = [batch[c].to_pylist() for c in ("key", "i", "j", "cid", "left", "component", "n_shingles", "sig")]
-            for key, i, j, *rest in zip(*columns):
-                if (key, i, j) != now:
-                    if now and any(held[1]):
-                        a, b = compare(held)
-                        if len(a):
-                            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-                    now, held = (key, i, j), ([], [], [], [], [])
-                for x, y in zip(held, rest):
-                    x.append(y)
-        if now and any(held[1]):
-            a, b = compare(held)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    dealt = left.unionByName(right).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (_, slot, _, _), block in _each_block(batches, [*names, "set"]):
+            cid, sets = block[0], [np.frombuffer(x, np.uint64) for x in block[5]]
+            up = {c: c for c in block[2]}
+
+            def top(c: int) -> int:
+                while up[c] != c:
+                    c = up[c]
+                return c
+
+            a, b = [], []
+            for k, others in _candidates(slot, *arrays(block)):
+                for o in others.tolist():
+                    x, y = top(block[2][k]), top(block[2][o])
+                    if x != y and _similar(sets[k], sets[o]):
+                        up[x] = y
+                        a.append(cid[k])
+                        b.append(cid[o])
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    def dealt(frame: DataFrame) -> DataFrame:
+        return frame.repartition("key", "slot", "i", "j").sortWithinPartitions("key", "slot", "i", "j")
+
+    schema = "key long, slot int, i long, j long, cid long, left boolean, component long, n_shingles long, sig binary"
+    found = staged(docs.sparkSession, dealt(left.unionByName(right)).mapInArrow(find, schema), "found")
+    return dealt(found.join(_sets(found.select("cid"), docs), "cid")).mapInArrow(confirm, "a long, b long").distinct()
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
@@ -211,7 +271,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     classes = staged(spark, able.groupBy("set_fp").agg(F.min("doc_id").alias("cid"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig")), "classes")
 
     keys = _keys(classes)
-    chosen = keys.groupBy("key").agg(F.min_by("cid", F.xxhash64("cid", "key")).alias("a"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    chosen = keys.groupBy("key").agg(F.min_by("cid", F.xxhash64("cid")).alias("a"), F.count(F.lit(1)).alias("size")).where("size > 1")
     stars = keys.join(chosen, "key").where("cid != a").select(F.least("cid", "a").alias("a"), F.greatest("cid", "a").alias("b")).distinct()
     stars = staged(spark, _near(stars, classes), "stars")
 
@@ -223,7 +283,8 @@ def near_groups(docs: DataFrame) -> DataFrame:
     def placed(frame: DataFrame, column: str, name: str) -> DataFrame:
         return frame.join(after.select(F.col("node").alias("_node"), F.col("component").alias("_component")), F.col(column) == F.col("_node"), "left").withColumn(name, F.coalesce("_component", column)).drop("_node", "_component")
 
-    rest = placed(placed(stars, "a", "ca"), "b", "cb").where("ca != cb").select("a", "b")
+    rest = placed(placed(stars, "a", "ca"), "b", "cb").where("ca != cb").select("a", "b").join(best, ["a", "b"], "left_anti")
+    more = _linked(staged(spark, rest, "rest"), docs)
 
     held = placed(_keys(classes).join(chosen.where("size > 2").select("key"), "key"), "cid", "component")
     held = staged(spark, held, "held")
@@ -231,8 +292,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     per = per.groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("size"))
     per = per.where("top.n < size").select("key", F.col("top.component").alias("main"), "size", (F.col("size") - F.col("top.n")).alias("others"))
     opened = held.join(per, "key").join(classes.select("cid", "n_shingles", "sig"), "cid")
-    rest = rest.union(_blocks(opened)).distinct().join(best, ["a", "b"], "left_anti")
-    more = _linked(staged(spark, rest, "rest"), docs)
+    more = more.union(_beyond_stars(opened, docs))
 
     # A doc_id with several texts stands in several classes.
     own = able.join(classes.select("set_fp", "cid"), "set_fp").select("doc_id", "cid")
