@@ -36,7 +36,7 @@ WIDTHS = ((8, 8), (4, 4, 8), (4, 4, 4, 4), (16,), (8, 8, 8, 8), (16, 16))
 RANK_EVERY = 512
 
 SHARD_TOKENS = 1 << 20
-MOST_CACHED = 1_000_000
+MOST_CACHED = 1_200_000
 SHARDS = "part int, seq int, n_docs long, n_tokens long, image binary"
 ROWS = "part int, seq int, doc_id long, local_start long, n_tokens long, ids_crc32 long"
 
@@ -222,7 +222,7 @@ class _Encoder:
                 for x in self.derived:
                     del self.known[x]
                 self.derived = []
-                if len(self.known) > MOST_CACHED // 2:
+                if len(self.known) > MOST_CACHED * 3 // 4:
                     self.known = {"": b""}
             return [b"".join(map(own.__getitem__, c)) + end for c in chunks]
         finally:
