@@ -33,7 +33,7 @@ CHUNKS, WIDTH = 8, 6
 SYMBOLS = CHUNKS * WIDTH
 FAR = 20  # pairs of larger signature distance are not confirmed: chance 1e-6 at similarity 0.85
 PERCENT = 85
-BLOCK = 256
+BLOCK = 512
 BROADCAST_ROWS = 1 << 21
 
 _WORD = np.array([not (x == 0x20 or 0x09 <= x <= 0x0D) for x in range(256)])
@@ -271,7 +271,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     classes = staged(spark, able.groupBy("set_fp").agg(F.min("doc_id").alias("cid"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig")), "classes")
 
     keys = _keys(classes)
-    chosen = keys.groupBy("key").agg(F.min_by("cid", F.xxhash64("cid")).alias("a"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    chosen = keys.groupBy("key").agg(F.min_by("cid", F.xxhash64("cid", F.expr(f"slot div {WIDTH}"))).alias("a"), F.count(F.lit(1)).alias("size")).where("size > 1")
     stars = keys.join(chosen, "key").where("cid != a").select(F.least("cid", "a").alias("a"), F.greatest("cid", "a").alias("b")).distinct()
     stars = staged(spark, _near(stars, classes), "stars")
 
@@ -284,7 +284,8 @@ def near_groups(docs: DataFrame) -> DataFrame:
         return frame.join(after.select(F.col("node").alias("_node"), F.col("component").alias("_component")), F.col(column) == F.col("_node"), "left").withColumn(name, F.coalesce("_component", column)).drop("_node", "_component")
 
     rest = placed(placed(stars, "a", "ca"), "b", "cb").where("ca != cb").select("a", "b").join(best, ["a", "b"], "left_anti")
-    more = _linked(staged(spark, rest, "rest"), docs)
+    links = staged(spark, links.union(_linked(staged(spark, rest, "rest"), docs)), "links")
+    after = components(links)
 
     held = placed(_keys(classes).join(chosen.where("size > 2").select("key"), "key"), "cid", "component")
     held = staged(spark, held, "held")
@@ -292,7 +293,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     per = per.groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("size"))
     per = per.where("top.n < size").select("key", F.col("top.component").alias("main"), "size", (F.col("size") - F.col("top.n")).alias("others"))
     opened = held.join(per, "key").join(classes.select("cid", "n_shingles", "sig"), "cid")
-    more = more.union(_beyond_stars(opened, docs))
+    more = _beyond_stars(opened, docs)
 
     # A doc_id with several texts stands in several classes.
     own = able.join(classes.select("set_fp", "cid"), "set_fp").select("doc_id", "cid")
