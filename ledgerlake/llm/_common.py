@@ -136,6 +136,19 @@ class SpanHasher:
         return self.of_sums(self.sums(data), starts, ends)
 
 
+def coded_chunks(column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The blank-separated chunks of each text: the distinct ones, the number of each in turn, and where each row's begin and end. A row has one chunk at least."""
+    lists = pc.split_pattern(column, " ")
+    coded = lists.flatten().dictionary_encode()
+    offs = np.asarray(lists.offsets)
+    return coded.dictionary.to_pylist(), np.asarray(coded.indices), offs - offs[0]
+
+
+def gathered(pool: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Slices of pool, one after the other."""
+    return pool[np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())]
+
+
 def by_id(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     """left_semi or left_anti join of docs with a one-column table of doc_ids; a null id equals a null id. Any columns of docs stay as they are."""
     name = "_id"

@@ -24,11 +24,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import fresh_path, slices, text_or_empty
+from ._common import coded_chunks, fresh_path, gathered, slices, text_or_empty
 
 # Fixed values of the file format.
 MAGIC = b"LLDAC\x00\x00\x01"
@@ -63,10 +64,12 @@ def best_widths(ids: np.ndarray) -> tuple[int, ...]:
     """Of the widths that hold the largest id, those that take the fewest bits."""
     bits = int(ids.max()).bit_length() if len(ids) else 1
 
+    long = {0: len(ids)} | {k: int(np.count_nonzero(ids >> np.uint32(k))) for k in (4, 8, 12, 16, 24)}
+
     def cost(widths: tuple[int, ...]) -> int:
         total, below = 0, 0
         for k, w in enumerate(widths):
-            here = len(ids) if not below else int((ids >> np.uint32(below)).astype(bool).sum())
+            here = long[below]
             total += here * (w + (k < len(widths) - 1))
             below += w
         return total
@@ -209,24 +212,31 @@ class _Encoder:
             known[x] = known[core] + known[tail]
         self.derived += parts
 
-    def ids(self, texts: list[str], end: bytes) -> list[bytes]:
+    def ids(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, end_id after each, and how many each has."""
         gc.disable()  # of the many objects made here none is in a cycle
         try:
-            chunks = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
-            own = dict.fromkeys(set().union(*chunks))
-            own.update(zip(own, map(self.known.get, own)))
-            if new := [x for x, ids in own.items() if ids is None]:
-                self._learn(new)
-                own.update(zip(new, map(self.known.__getitem__, new)))
+            for space in "\n\t":
+                texts = pc.replace_substring(texts, space, " ")
+            chunks, numbers, rows = coded_chunks(texts)
+            own = list(map(self.known.get, chunks))
+            if None in own:
+                self._learn([x for x, ids in zip(chunks, own) if ids is None])
+                own = list(map(self.known.__getitem__, chunks))
             if len(self.known) > MOST_CACHED:
                 for x in self.derived:
                     del self.known[x]
                 self.derived = []
                 if len(self.known) > MOST_CACHED * 3 // 4:
                     self.known = {"": b""}
-            return [b"".join(map(own.__getitem__, c)) + end for c in chunks]
         finally:
             gc.enable()
+        own.append(np.array([end_id], "<u4").tobytes())
+        sizes = np.fromiter(map(len, own), np.int64, len(own)) // 4
+        pool, starts = np.frombuffer(b"".join(own), "<u4"), np.cumsum(sizes) - sizes
+        numbers = np.insert(numbers, rows[1:], len(chunks))
+        n = sizes[numbers]
+        return gathered(pool, starts[numbers], n), np.add.reduceat(n, rows[:-1] + np.arange(len(rows) - 1))
 
 
 _ENCODERS: dict[str, _Encoder] = {}
@@ -248,16 +258,16 @@ def write_tokens(spark: SparkSession, docs: DataFrame, path: str, tokenizer_path
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seq, end = TaskContext.get().partitionId(), 0, np.array([end_id], "<u4").tobytes()
+        part, seq = TaskContext.get().partitionId(), 0
         encode_texts = encoder(tokenizer_path).ids
-        held: list[bytes] = []
+        held: list[np.ndarray] = []
         ids: list[int | None] = []
         size = 0
 
         def close() -> pa.RecordBatch:
             nonlocal seq
-            tokens = np.frombuffer(b"".join(held), "<u4")
-            image = pack_shard(ids, [len(x) // 4 for x in held], tokens)
+            tokens = np.concatenate(held)
+            image = pack_shard(ids, [len(x) for x in held], tokens)
             row = pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([len(ids)], pa.int64()), pa.array([len(tokens)], pa.int64()), pa.array([image], pa.binary())], ["part", "seq", "n_docs", "n_tokens", "image"])
             seq += 1
             held.clear()
@@ -266,10 +276,11 @@ def write_tokens(spark: SparkSession, docs: DataFrame, path: str, tokenizer_path
 
         for batch in batches:
             for lo, hi in slices(batch["text"], 1 << 22):
-                for doc, tokens in zip(batch["doc_id"][lo:hi].to_pylist(), encode_texts(batch["text"][lo:hi].to_pylist(), end)):
-                    held.append(tokens)
+                tokens, n = encode_texts(batch["text"][lo:hi], end_id)
+                for doc, own in zip(batch["doc_id"][lo:hi].to_pylist(), np.split(tokens, np.cumsum(n)[:-1])):
+                    held.append(own)
                     ids.append(doc)
-                    size += len(tokens) // 4
+                    size += len(own)
                     if size >= shard_tokens:
                         yield close()
                         size = 0
