@@ -149,8 +149,13 @@ def gathered(pool: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndar
     return pool[np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())]
 
 
+BROADCAST_ROWS = 1 << 21
+
+
 def by_id(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """left_semi or left_anti join of docs with a one-column table of doc_ids; a null id equals a null id. Any columns of docs stay as they are."""
+    """left_semi or left_anti join of docs with a one-column table of distinct doc_ids; a null id equals a null id. Any columns of docs stay as they are. 16 MB of ids at most go to every task; beyond that docs are dealt by id."""
+    ids = staged(docs.sparkSession, ids, "ids")
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
     name = "_id"
     while name in {c.lower() for c in docs.columns}:
         name += "_"

@@ -170,6 +170,19 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
 
 
+def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
+    """docs, all columns, without the rows that the model rejects."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text = batch["text"]
+            for lo, hi in slices(text, 1 << 20, 256):
+                yield batch.slice(lo, hi - lo).filter(pa.array(~shared.value.predict(text[lo:hi])[2]))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out() -> Column:
     return crc32_of_id() % 3 == 1
 

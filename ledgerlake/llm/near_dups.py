@@ -34,7 +34,6 @@ SYMBOLS = CHUNKS * WIDTH
 FAR = 20  # pairs of larger signature distance are not confirmed: chance 1e-6 at similarity 0.85
 PERCENT = 85
 BLOCK = 512
-BROADCAST_ROWS = 1 << 21
 
 _WORD = np.array([not (x == 0x20 or 0x09 <= x <= 0x0D) for x in range(256)])
 _LOWER = np.where((np.arange(256) >= 65) & (np.arange(256) <= 90), np.arange(256) + 32, np.arange(256)).astype(np.uint8)
@@ -132,15 +131,13 @@ def _near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 def _sets(wanted: DataFrame, docs: DataFrame) -> DataFrame:
     """cid, set of the documents that wanted (cid) names, made again from their texts."""
-    wanted = staged(docs.sparkSession, wanted.distinct(), "wanted")
-    few = wanted.count() <= BROADCAST_ROWS  # 16 MB of ids at most go to every task; beyond that texts are dealt by id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi in slices(batch["text"], 1 << 20):
                 yield pa.RecordBatch.from_arrays([batch["doc_id"][lo:hi], pa.array([s.tobytes() for s in shingle_sets(batch["text"][lo:hi])], pa.binary())], ["cid", "set"])
 
-    found = by_id(docs, F.broadcast(wanted) if few else wanted, "left_semi").mapInArrow(run, "cid long, set binary")
+    found = by_id(docs, wanted.distinct(), "left_semi").mapInArrow(run, "cid long, set binary")
     return staged(docs.sparkSession, found, "sets")
 
 
@@ -310,9 +307,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs, of each group of linked documents the one with the smallest doc_id."""
-    gone = near_groups(docs).where("not kept").select("doc_id").distinct()
-    gone = staged(docs.sparkSession, gone, "gone")
-    return by_id(docs, F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, "left_anti")
+    return by_id(docs, near_groups(docs).where("not kept").select("doc_id").distinct(), "left_anti")
 
 
 def op6_hamming_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
