@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chroma import op2_chroma_align
 from .dac import op7_dac_tokens
 from .langid import op10_centroid_langid
 from .near_dups import op6_hamming_near_dups
@@ -18,6 +19,7 @@ from .toxicity import op3_fm_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chunk_recipe_dedup": op1_chunk_recipe_dedup,
+    "op2_chroma_align": op2_chroma_align,
     "op3_fm_toxicity": op3_fm_toxicity,
     "op4_pfair_mix": op4_pfair_mix,
     "op5_nbest_pieces": op5_nbest_pieces,
