@@ -23,7 +23,8 @@ def l2p_at(log: DataFrame, lsn: int | Column | None = None) -> DataFrame:
 def l2p_at_snapshots(log: DataFrame, snapshots: DataFrame) -> DataFrame:
     """snap_id and the block map of its volume at its lsn, for all snapshots (a small catalog) at once."""
     s = snapshots.select(F.col("id").alias("snap_id"), F.col("vol_ord").alias("s_vol"), "created_lsn")
-    rows = log.where(F.col("op").isin(*MAPS)).join(F.broadcast(s), (F.col("vol_ord") == F.col("s_vol")) & (F.col("lsn") <= F.col("created_lsn")))
+    rows = log.where(F.col("op").isin(*MAPS)).select(*ORDER, "op", *KEY, *VALUE)
+    rows = rows.join(F.broadcast(s), (F.col("vol_ord") == F.col("s_vol")) & (F.col("lsn") <= F.col("created_lsn")))
     top = latest(rows, ["snap_id", *KEY], ORDER, ["op", *VALUE])
     return top.where("op <> 'L2pDelete'").drop("op")
 
