@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import staged, table
+from ._common import staged, table, thrifty
 
 RATE, FRAME, HOP = 5512, 1024, 512
 LOW_HZ, HIGH_HZ = 100.0, 2500.0
@@ -105,7 +105,7 @@ def fingerprints(media: DataFrame) -> DataFrame:
             columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))] if rows else [pa.array([], t) for t in (pa.int32(), pa.binary(), pa.binary())]
             yield pa.RecordBatch.from_arrays([batch["id"], *columns], ["id", "lead", "ints", "class_key"])
 
-    return media.select(F.col("id").cast("long").alias("id"), "pcm").mapInArrow(run, "id long, lead int, ints binary, class_key binary")
+    return media.select(F.col("id").cast("long").alias("id"), "pcm").mapInArrow(thrifty(run), "id long, lead int, ints binary, class_key binary")
 
 
 def _seeds(classes: DataFrame) -> DataFrame:
@@ -124,7 +124,7 @@ def _seeds(classes: DataFrame) -> DataFrame:
             empty = [np.zeros(0, np.int64)]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x + empty).astype(t)) for x, t in ((ids, np.int64), (values, np.int64), (places, np.int32))], ["class_id", "value", "place"])
 
-    return classes.select("class_id", "ints").mapInArrow(run, "class_id long, value long, place int")
+    return classes.select("class_id", "ints").mapInArrow(thrifty(run), "class_id long, value long, place int")
 
 
 def overlap(a: np.ndarray, b: np.ndarray, offset: int) -> tuple[int, float]:
@@ -165,7 +165,7 @@ def align(media: DataFrame, query_every: int = QUERY_EVERY) -> DataFrame:
 
     for side, name in (("q", "a"), ("r", "b")):
         best = best.join(classes.select(F.col("class_id").alias(side), F.col("ints").alias(name)), side)
-    matches = best.select("q", "r", "frames", "votes", "a", "b").mapInArrow(confirm, "q long, r long, frames int, votes long, overlap int, bit_errors double")
+    matches = best.select("q", "r", "frames", "votes", "a", "b").mapInArrow(thrifty(confirm), "q long, r long, frames int, votes long, overlap int, bit_errors double")
     none = F.lit(None)
     members = prints.join(classes.select("class_key", "class_id"), "class_key", "left").withColumn("class_id", F.when(F.col("id").isNotNull(), F.col("class_id")))
     members = members.select(F.lit("member").alias("kind"), "id", "class_id", none.cast("long").alias("other_class"), F.col("lead").alias("frames"), none.cast("long").alias("votes"), none.cast("int").alias("overlap"), none.cast("double").alias("bit_errors"))
@@ -190,7 +190,7 @@ def rendered(vectors: DataFrame) -> DataFrame:
                 pcm = [None if v is None else tones(np.array(v, float), (i or 0) % 5).tobytes() for i, v in zip(part["id"].to_pylist(), part["vector"].to_pylist())]
                 yield pa.RecordBatch.from_arrays([part["id"], pa.array(pcm, pa.binary())], ["id", "pcm"])
 
-    return vectors.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("vector")).mapInArrow(run, "id long, pcm binary")
+    return vectors.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("vector")).mapInArrow(thrifty(run), "id long, pcm binary")
 
 
 def op2_chroma_align(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import coded_chunks, fresh_path, gathered, slices, text_or_empty
+from ._common import coded_chunks, fresh_path, gathered, slices, text_or_empty, thrifty
 
 # Fixed values of the file format.
 MAGIC = b"LLDAC\x00\x00\x01"
@@ -287,7 +287,7 @@ def write_tokens(spark: SparkSession, docs: DataFrame, path: str, tokenizer_path
         if ids:
             yield close()
 
-    ordered.mapInArrow(encode, SHARDS).write.option("compression", "zstd").parquet(path)
+    ordered.mapInArrow(thrifty(encode), SHARDS).write.option("compression", "zstd").parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
@@ -310,7 +310,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     parts = parts.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("part_start"))
     firsts = sizes.select("part", "seq", (F.sum("n_tokens").over(Window.partitionBy("part").orderBy("seq")) - F.col("n_tokens")).alias("shard_start"))
     firsts = firsts.join(parts, "part").select("part", "seq", (F.col("part_start") + F.col("shard_start")).alias("shard_start"))
-    rows = shards.select("part", "seq", "image").mapInArrow(decode, ROWS)
+    rows = shards.select("part", "seq", "image").mapInArrow(thrifty(decode), ROWS)
     return rows.join(firsts, ["part", "seq"]).select("doc_id", (F.col("shard_start") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")
 
 

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import crc32_of_id, random_words, slices, table, utf8_view
+from ._common import crc32_of_id, random_words, slices, table, thrifty, utf8_view
 
 DIMS = 8192
 FIT_ROWS = 600
@@ -118,7 +118,7 @@ def fit(learning: DataFrame, fit_rows: int = FIT_ROWS, centroids: int = CENTROID
         yield pa.RecordBatch.from_arrays([pa.array(dims, pa.int32()), pa.array(df[dims])], ["dim", "n"])
 
     df = np.zeros(DIMS + 1)
-    for r in learning.select("text").mapInArrow(frequencies, "dim int, n long").groupBy("dim").agg(F.sum("n").alias("n")).collect():
+    for r in learning.select("text").mapInArrow(thrifty(frequencies), "dim int, n long").groupBy("dim").agg(F.sum("n").alias("n")).collect():
         df[r.dim] = r.n
     idf = (np.log((1 + df[DIMS]) / (1 + df[:DIMS])) + 1).astype(np.float32)
 
@@ -141,7 +141,7 @@ def fit(learning: DataFrame, fit_rows: int = FIT_ROWS, centroids: int = CENTROID
 
     sample = learning.withColumn("place", place).where(F.col("place") < below).select("lang", "place", "text")
     parts: dict[str, list] = {}
-    for r in sample.mapInArrow(sparse, "lang string, place long, cells binary, counts binary").collect():
+    for r in sample.mapInArrow(thrifty(sparse), "lang string, place long, cells binary, counts binary").collect():
         parts.setdefault(r.lang, []).append((r.place, bytes(r.cells), bytes(r.counts)))
     found, own, usual = [], [], []
     for k, lang in enumerate(languages):
@@ -167,7 +167,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 names, score, rejected = shared.value.predict(batch["text"][lo:hi])
                 yield pa.RecordBatch.from_arrays([batch["doc_id"][lo:hi], pa.array(names, pa.string()), pa.array(score), pa.array(rejected)], ["doc_id", "lang_pred", "score", "rejected"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(thrifty(run), "doc_id long, lang_pred string, score double, rejected boolean")
 
 
 def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
@@ -180,7 +180,7 @@ def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
             for lo, hi in slices(text, 1 << 20, 256):
                 yield batch.slice(lo, hi - lo).filter(pa.array(~shared.value.predict(text[lo:hi])[2]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(thrifty(run), docs.schema)
 
 
 def held_out() -> Column:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import SpanHasher, by_id, mix64, random_words, slices, staged, table, utf8_view, word_spans
+from ._common import SpanHasher, by_id, mix64, random_words, slices, staged, table, thrifty, utf8_view, word_spans
 from .components import components
 
 SHINGLE = 5
@@ -99,7 +99,7 @@ def _signed(docs: DataFrame) -> DataFrame:
                 sigs = [signature(s).tobytes() if len(s) else b"" for s in sets]
                 yield pa.RecordBatch.from_arrays([batch["doc_id"][lo:hi], pa.array([len(s) for s in sets], pa.int64()), pa.array(prints, pa.binary()), pa.array(sigs, pa.binary())], ["doc_id", "n_shingles", "set_fp", "sig"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_fp binary, sig binary")
+    return docs.mapInArrow(thrifty(run), "doc_id long, n_shingles long, set_fp binary, sig binary")
 
 
 def _keys(classes: DataFrame) -> DataFrame:
@@ -111,7 +111,7 @@ def _keys(classes: DataFrame) -> DataFrame:
                 slots = np.tile(np.arange(keys.shape[1], dtype=np.int32), len(keys))
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(slots), pa.array(np.repeat(part["cid"].to_numpy(), keys.shape[1]))], ["key", "slot", "cid"])
 
-    return classes.select("cid", "sig").mapInArrow(run, "key long, slot int, cid long")
+    return classes.select("cid", "sig").mapInArrow(thrifty(run), "key long, slot int, cid long")
 
 
 def _near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -126,7 +126,7 @@ def _near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     for x in "ab":
         pairs = pairs.join(classes.select(F.col("cid").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("sig").alias(f"s{x}")), x)
     fits = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * PERCENT
-    return pairs.where(fits).select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, distance int").groupBy("a", "b").agg(F.min("distance").alias("distance"))
+    return pairs.where(fits).select("a", "b", "sa", "sb").mapInArrow(thrifty(run), "a long, b long, distance int").groupBy("a", "b").agg(F.min("distance").alias("distance"))
 
 
 def _sets(wanted: DataFrame, docs: DataFrame) -> DataFrame:
@@ -137,7 +137,7 @@ def _sets(wanted: DataFrame, docs: DataFrame) -> DataFrame:
             for lo, hi in slices(batch["text"], 1 << 20):
                 yield pa.RecordBatch.from_arrays([batch["doc_id"][lo:hi], pa.array([s.tobytes() for s in shingle_sets(batch["text"][lo:hi])], pa.binary())], ["cid", "set"])
 
-    found = by_id(docs, wanted.distinct(), "left_semi").mapInArrow(run, "cid long, set binary")
+    found = by_id(docs, wanted.distinct(), "left_semi").mapInArrow(thrifty(run), "cid long, set binary")
     return staged(docs.sparkSession, found, "sets")
 
 
@@ -157,7 +157,7 @@ def _linked(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     found = _sets(pairs.select(F.col("a").alias("cid")).union(pairs.select("b")), docs)
     for x in "ab":
         pairs = pairs.join(found.select(F.col("cid").alias(x), F.col("set").alias(f"set{x}")), x)
-    return pairs.select("a", "b", "seta", "setb").mapInArrow(run, "a long, b long").distinct()
+    return pairs.select("a", "b", "seta", "setb").mapInArrow(thrifty(run), "a long, b long").distinct()
 
 
 def _first_slot(same: np.ndarray) -> np.ndarray:
@@ -249,8 +249,8 @@ def _beyond_stars(opened: DataFrame, docs: DataFrame) -> DataFrame:
         return frame.repartition("key", "slot", "i", "j").sortWithinPartitions("key", "slot", "i", "j")
 
     schema = "key long, slot int, i long, j long, cid long, left boolean, component long, n_shingles long, sig binary"
-    found = staged(docs.sparkSession, dealt(left.unionByName(right)).mapInArrow(find, schema), "found")
-    return dealt(found.join(_sets(found.select("cid"), docs), "cid")).mapInArrow(confirm, "a long, b long").distinct()
+    found = staged(docs.sparkSession, dealt(left.unionByName(right)).mapInArrow(thrifty(find), schema), "found")
+    return dealt(found.join(_sets(found.select("cid"), docs), "cid")).mapInArrow(thrifty(confirm), "a long, b long").distinct()
 
 
 def near_groups(docs: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import slices, table, text_or_empty
+from ._common import slices, table, text_or_empty, thrifty
 
 # The kinds in order, their patterns, and their limits. The look-behind and the possessive signs
 # leave what is matched as it is and make the search linear.
@@ -209,7 +209,7 @@ def fit(docs: DataFrame, fit_docs: int = FIT_DOCS) -> Field:
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.binary(), pa.int32(), pa.int32()))], ["what", "features", "a", "b"])
 
     place = F.xxhash64("doc_id", F.lit(5)).bitwiseAND(F.lit((1 << 40) - 1))
-    counted = docs.where(place < most).mapInArrow(run, "what int, features binary, a int, b int").groupBy("what", "features", "a", "b").count().collect()
+    counted = docs.where(place < most).mapInArrow(thrifty(run), "what int, features binary, a int, b int").groupBy("what", "features", "a", "b").count().collect()
     labels = 1 + len(KINDS)
     pairs = {1: np.full((labels, labels), 0.5), 2: np.full((labels, labels), 0.0)}
     seen, y, weight = [], [], []
@@ -269,7 +269,7 @@ def find(docs: DataFrame, field: Field) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch["doc_id"][lo:hi], *columns], ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added"])
 
     schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(thrifty(run), schema)
 
 
 def op8_skipchain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

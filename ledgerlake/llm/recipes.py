@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import by_id, random_words, slices, staged, table, text_or_empty, utf8_view
+from ._common import by_id, random_words, slices, staged, table, text_or_empty, thrifty, utf8_view
 
 WINDOW = 32
 LEAST, MOST, MEAN_BITS = 256, 8192, 10
@@ -69,7 +69,7 @@ def recipes(docs: DataFrame, digest_bytes: int = 16) -> DataFrame:
                 recipe.append(b"".join(digests))
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(sha, pa.string()), pa.array(recipe, pa.binary())], ["doc_id", "text_sha256", "recipe"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, RECIPE)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(thrifty(run), RECIPE)
 
 
 def chunks(docs: DataFrame, digest_bytes: int = 16, positions: bool = False) -> DataFrame:
@@ -100,7 +100,7 @@ def chunks(docs: DataFrame, digest_bytes: int = 16, positions: bool = False) ->
     types = [pa.binary(), pa.binary(), pa.int64(), pa.string(), pa.int32()]
     names = ["digest", "content", "doc_id", "text_sha256", "pos"][: 5 if positions else 2]
     schema = CHUNK + (", doc_id long, text_sha256 string, pos int" if positions else "")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(thrifty(run), schema)
 
 
 def clashes(docs: DataFrame, digest_bytes: int = 16) -> DataFrame:

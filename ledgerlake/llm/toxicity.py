@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import SpanHasher, crc32_of_id, slices, table, utf8_view, word_spans
+from ._common import SpanHasher, crc32_of_id, slices, table, thrifty, utf8_view, word_spans
 
 BITS = 18
 PREFIXES = (4, 7)
@@ -150,7 +150,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Machine
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).select("doc_id", F.col("_toxic").alias("toxic"), "text")
-    got = sorted((r.doc_id, r.toxic, bytes(r.cells), bytes(r.times)) for r in rows.mapInArrow(cells, "doc_id long, toxic int, cells binary, times binary").collect())
+    got = sorted((r.doc_id, r.toxic, bytes(r.cells), bytes(r.times)) for r in rows.mapInArrow(thrifty(cells), "doc_id long, toxic int, cells binary, times binary").collect())
     return train([(np.frombuffer(c, "<u4").astype(np.int64), np.frombuffer(t, "<u4")) for _, _, c, t in got], np.array([float(r[1] > 0) for r in got]))
 
 
@@ -164,7 +164,7 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
                 s = shared.value.scores(batch["text"][lo:hi])
                 yield pa.RecordBatch.from_arrays([batch["doc_id"][lo:hi], pa.array(s), pa.array((s >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double, predicted int")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(thrifty(run), "doc_id long, score double, predicted int")
 
 
 def held_out() -> Column:
