@@ -5,7 +5,7 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +17,7 @@ _FALLBACK: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -33,6 +34,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder; it goes when the application ends."""
+    bound_batches(spark)
     path = f"{shared_dir(spark)}/ledgerlake-{uuid.uuid4().hex}/{name}"
     jvm = spark.sparkContext._jvm
     parent = jvm.org.apache.hadoop.fs.Path(path.rpartition("/")[0])
@@ -58,10 +60,26 @@ def crc32_of_id(name: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(name).cast("string"), F.lit("")).cast("binary"))
 
 
+#: What workers keep between tasks, by module: each a function that lets go of it.
+CACHES: dict[str, Callable[[], None]] = {}
+BATCH_BYTES = 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Texts are long: batches to Python are bounded by bytes, unless the session asks for less already."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key, "67108864").rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def thrifty(run):
-    """run, a function for mapInArrow, that gives unused memory back to the system when its task ends: idle workers share an executor's memory with busy ones."""
+    """run, a function for mapInArrow, that is modest in memory: idle workers share an executor's with busy ones. A worker keeps the caches of the operator at hand only, and gives unused memory back when its task ends."""
+    module = run.__module__
 
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name, let_go in CACHES.items():
+            if name != module:
+                let_go()
         yield from run(batches)
         pa.default_memory_pool().release_unused()
         if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):

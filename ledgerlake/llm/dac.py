@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import coded_chunks, fresh_path, gathered, slices, text_or_empty, thrifty
+from ._common import CACHES, coded_chunks, fresh_path, gathered, slices, text_or_empty, thrifty
 
 # Fixed values of the file format.
 MAGIC = b"LLDAC\x00\x00\x01"
@@ -240,6 +240,7 @@ class _Encoder:
 
 
 _ENCODERS: dict[str, _Encoder] = {}
+CACHES[__name__] = _ENCODERS.clear
 
 
 def encoder(path: str | None) -> _Encoder:

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import crc32_of_id, random_words, slices, table, thrifty, utf8_view
+from ._common import bound_batches, crc32_of_id, random_words, slices, table, thrifty, utf8_view
 
 DIMS = 8192
 FIT_ROWS = 600
@@ -105,6 +105,7 @@ def _cluster(v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 def fit(learning: DataFrame, fit_rows: int = FIT_ROWS, centroids: int = CENTROIDS) -> Model:
     """From doc_id, text and lang of learning rows; null langs, null texts and texts without letters are left out."""
+    bound_batches(learning.sparkSession)
     learning = learning.where("lang is not null and text is not null").select("doc_id", "text", "lang")
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
