@@ -72,18 +72,26 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
+def _let_go_of_others(module: str) -> None:
+    for name, let_go in CACHES.items():
+        if name != module:
+            let_go()
+
+
+def _give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def thrifty(run):
     """run, a function for mapInArrow, that is modest in memory: idle workers share an executor's with busy ones. A worker keeps the caches of the operator at hand only, and gives unused memory back when its task ends."""
     module = run.__module__
 
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for name, let_go in CACHES.items():
-            if name != module:
-                let_go()
+        _let_go_of_others(module)
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
-            trim(0)
+        _give_back()
 
     return wrapped
 
