@@ -11,7 +11,9 @@ from ..functions import codec
 from ..operators import audit, dedup, refcount, remap, snapshot, state
 from ..sources import tables
 from ..sources.schema import VOLUMES
+from ..streaming.tail import Tail, op_rate
 from . import metrics
+from .work import shared_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -482,3 +484,36 @@ def model_equality(s, d):
 @query()
 def guarded_remap(s, d):
     return remap.guarded(tables.guarded_log(s, d)).select("lsn", "op_seq", "vol_ord", "lba", "guard_pba", "guard_min_rc", "applied")
+
+
+# Streams: read to their end and compared as tables.
+
+
+def _event_stream(s: SparkSession, d: str) -> DataFrame:
+    schema = s.read.parquet(f"{d}/events.parquet").schema
+    return s.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+
+
+def _followed(s: SparkSession, d: str) -> Tail:
+    tail = Tail(s, shared_path(s, "tail"))
+    tail.start(tables.op_log_of(_event_stream(s, d))).awaitTermination()
+    return tail
+
+
+@query("live", "SELECT vol_ord, lba, pba, salt FROM live")
+def stream_tail_maps(s, d):
+    return _followed(s, d).live()
+
+
+@query("rcs", "SELECT * FROM rcs")
+def stream_tail_counts(s, d):
+    return _followed(s, d).counts()
+
+
+@query("", "SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
+def stream_op_windows(s, d):
+    """All windows, as the end of the stream closes them: the sums of a stream in complete mode."""
+    out = shared_path(s, "windows")
+    plan = op_rate(_event_stream(s, d).withColumn("ts", F.col("ts").cast("timestamp")))
+    plan.writeStream.outputMode("complete").foreachBatch(lambda b, k: b.write.mode("overwrite").parquet(f"{out}/{k}")).option("checkpointLocation", f"{out}-offsets").trigger(availableNow=True).start().awaitTermination()
+    return s.read.parquet(f"{out}/0").withColumn("start", F.col("start").cast("timestamp_ntz"))

@@ -8,9 +8,13 @@ from pyspark.sql import functions as F
 
 def op_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lsn, op_seq, op, vol_ord, lba, pba, salt: one operation an event; an error deletes, all else remaps."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return op_log_of(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+def op_log_of(events: DataFrame) -> DataFrame:
+    """The same of a table or a stream of events."""
     error = F.col("event_type") == "error"
-    return e.select(
+    return events.select(
         (F.col("event_id") + 1).alias("lsn"),
         F.lit(0).alias("op_seq"),
         F.when(error, "L2pDelete").otherwise("L2pRemap").alias("op"),
