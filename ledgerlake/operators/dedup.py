@@ -93,3 +93,22 @@ def order_faults(layers: DataFrame) -> DataFrame:
     """Rows of a run whose hash is not above the one before it in file order (pos)."""
     before = F.lag("hash").over(Window.partitionBy("layer").orderBy("pos"))
     return layers.withColumn("before", before).where(F.col("hash") <= F.col("before"))
+
+
+def flush_run(log: DataFrame, after: int, upto: int, layer: int) -> DataFrame:
+    """The operations with after < lsn <= upto as a new run: the last of each hash, deletes kept to hide what lies deeper."""
+    rows = log.where((F.col("lsn") > after) & (F.col("lsn") <= upto) & F.col("op").isin("DedupPut", "DedupDelete"))
+    return latest(rows.withColumn("at", F.col("lsn")), ["hash"], ["lsn"], ["op", "pba", "at"]).select(F.lit(layer).alias("layer"), "hash", "op", "pba", F.col("at").alias("lsn"))
+
+
+def compacted(layers: DataFrame, first: int, last: int) -> DataFrame:
+    """All layers after first to last have become one, numbered last. What is visible stays the same."""
+    deepest = layers.where(F.col("layer") < first).isEmpty()
+    merged = merge_layers(layers, first, last, deepest).select(F.lit(last).alias("layer"), "hash", "op", "pba")
+    return layers.where(~F.col("layer").between(first, last)).select("layer", "hash", "op", "pba").unionByName(merged)
+
+
+def write_run(run: DataFrame, path: str, key: str = "hash", partitions: int | None = None) -> None:
+    """A run on disk: ranges of the key, sorted, with row-group limits and a Bloom filter, so that a point read opens few row groups."""
+    dealt = run.repartitionByRange(key) if partitions is None else run.repartitionByRange(partitions, key)
+    dealt.sortWithinPartitions(key).write.option(f"parquet.bloom.filter.enabled#{key}", "true").mode("overwrite").parquet(path)

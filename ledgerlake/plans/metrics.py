@@ -70,3 +70,38 @@ def compare(a: DataFrame, b: DataFrame, on: str = "scenario", value: str = "ops_
     """Two backends' figures: ratio and winner of each scenario."""
     out = a.select(on, F.col(value).alias("a")).join(b.select(on, F.col(value).alias("b")), on)
     return out.withColumns({"ratio": F.when(F.col("b") > 0, F.col("a") / F.col("b")), "winner": F.when(F.col("a") >= F.col("b"), "a").otherwise("b")})
+
+
+def throughput(runs: DataFrame) -> DataFrame:
+    """runs (scenario, ops, items, ms) with operations and items per second; 0 where no time passed."""
+    s = F.col("ms") / 1000.0
+    return runs.withColumns({"ops_per_s": F.when(s > 0, F.col("ops") / s).otherwise(F.lit(0.0)), "items_per_s": F.when(s > 0, F.col("items") / s).otherwise(F.lit(0.0))})
+
+
+def report(samples: DataFrame, n: int) -> DataFrame:
+    """One row over the last n samples: lsns, transactions and batches per second, records a batch, mean commit time, and what share of it went to the log. Counters that samples lack count as 0."""
+    names = ["last_applied_lsn", "commit_success", "commit_us", "wal_batches", "wal_records", "wal_us"]
+    have = samples.select("ts_ms", *((F.col(c) if c in samples.columns else F.lit(0)).cast("long").alias(c) for c in names))
+    r = rates(have, n, names)
+    d = {c: F.col(f"{c}_delta") for c in names}
+    return r.select(
+        "seconds",
+        d["commit_success"].alias("commits"),
+        F.col("last_applied_lsn_rate").alias("lsn_per_s"),
+        F.col("commit_success_rate").alias("commits_per_s"),
+        F.col("wal_batches_rate").alias("batches_per_s"),
+        per_event(d["wal_records"], d["wal_batches"]).alias("wal_batch"),
+        per_event(d["commit_us"], d["commit_success"]).alias("commit_us"),
+        (100 * per_event(d["wal_us"], d["commit_us"])).alias("wal_share"),
+    )
+
+
+def as_json(rows: DataFrame, name: str = "json") -> DataFrame:
+    """Each row as one line of JSON, binary columns in hex."""
+    shown = [F.lower(F.hex(c)).alias(c) if t == "binary" else F.col(c) for c, t in rows.dtypes]
+    return rows.select(F.to_json(F.struct(*shown)).alias(name))
+
+
+def write_samples(rows: DataFrame, path: str) -> None:
+    """Samples as JSON lines, as read_samples reads them."""
+    rows.write.mode("append").json(path)

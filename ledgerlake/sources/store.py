@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import refcount, remap, snapshot, state
+from ..operators import dedup, refcount, remap, snapshot, state
 from ..operators.snapshot import InvalidArgument
+from ..plans.work import staged
 from .schema import MAX_LBA, MAX_VOLUMES, OP_LOG, SNAPSHOTS, VOLUMES
 
 CHANGES = ("L2pPut", "L2pRemap", "L2pDelete", "Incref", "Decref")
@@ -27,7 +28,7 @@ class Ledger:
     def create(cls, spark: SparkSession, path: str, max_volumes: int = MAX_VOLUMES) -> Ledger:
         """An empty ledger with volume 0."""
         out = cls(spark, path, [Row(ord=0, src_ord=None, src_lsn=None, created_lsn=0, dropped_lsn=None)], [], 0, 0, max_volumes)
-        spark.createDataFrame([], OP_LOG).withColumn("first_lsn", F.lit(0).cast("long")).limit(0).write.mode("errorifexists").parquet(f"{out.path}/log")
+        spark.createDataFrame([], OP_LOG).write.mode("errorifexists").parquet(f"{out.path}/log")
         out._commit()
         return out
 
@@ -88,6 +89,12 @@ class Ledger:
         s = self._snapshot(snap_id)
         return None if s is None else state.clone_view(self.log().where((F.col("vol_ord") != s.vol_ord) | (F.col("lsn") <= s.created_lsn)), self.catalog(), s.vol_ord).drop("own")
 
+    def forward_index(self) -> DataFrame:
+        return dedup.current(self.log())
+
+    def reverse_index(self) -> DataFrame:
+        return dedup.reverse_current(self.log())
+
     # Writes.
 
     def append(self, ops: DataFrame) -> int:
@@ -97,7 +104,7 @@ class Ledger:
         names = [f.name for f in OP_LOG.fields]
         full = ops.select(*((F.col(n).cast(OP_LOG[n].dataType) if n in ops.columns else F.lit(None).cast(OP_LOG[n].dataType)).alias(n) for n in names if n != "lsn")).withColumn("lsn", F.lit(self._top + 1).cast("long")).select(*names)
         self._check(full)
-        full.withColumn("first_lsn", F.col("lsn")).drop("first_lsn").write.mode("append").parquet(f"{self.path}/log")
+        full.write.mode("append").parquet(f"{self.path}/log")
         self._top += 1
         return self._top
 
@@ -131,15 +138,21 @@ class Ledger:
             self.append(rows.select(F.lit("L2pDelete").alias("op"), F.lit(vol).alias("vol_ord"), "lba", (F.col("lba") - start).cast("int").alias("op_seq")))
         return self._top
 
+    def cleanup(self, dead: DataFrame) -> int:
+        """Removes the reverse entries of dead addresses (pba), and forward entries that still point to them, in one record. All touch keys of their own, so they need no order."""
+        plan = dedup.cleanup_plan(self.forward_index(), self.reverse_index(), dead)
+        kinds = F.array(F.lit("DedupReverseDelete"), F.when(F.col("delete_forward"), "DedupDelete"))
+        rows = plan.select("pba", "hash", F.explode(F.array_compact(kinds)).alias("op"))
+        return self.append(rows.select("op", "pba", "hash", F.lit(0).alias("op_seq")))
+
     def take_snapshot(self, vol: int) -> int:
         self._volume(vol)
-        new = max((s.id for s in self._snaps), default=self._dropped_top()) + 1
-        self._snaps.append(Row(id=max(new, self._dropped_top() + 1), vol_ord=vol, created_lsn=self._top))
-        self._ids = self._snaps[-1].id
+        self._ids = self._last_id() + 1
+        self._snaps.append(Row(id=self._ids, vol_ord=vol, created_lsn=self._top))
         self._commit()
         return self._ids
 
-    def _dropped_top(self) -> int:
+    def _last_id(self) -> int:
         """The largest snapshot id ever given: ids are not used again."""
         if not hasattr(self, "_ids"):
             self._ids = self.spark.read.parquet(f"{self.path}/catalog").agg(F.max("snapshot.id")).first()[0] or 0
@@ -150,7 +163,7 @@ class Ledger:
         if self._snapshot(snap_id) is None:
             return None
         report = snapshot.drop_decrefs(self.log(), self.snapshots(), snap_id)
-        rows = self.spark.createDataFrame(report.collect(), report.schema) if report.count() <= 1 << 16 else report
+        rows = staged(self.spark, report, "drop")  # before the catalog forgets the snapshot
         self._snaps = [s for s in self._snaps if s.id != snap_id]
         self._commit()
         return rows

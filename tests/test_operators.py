@@ -199,6 +199,23 @@ def test_compaction(spark):
     assert {(r.hash, r.op) for r in dedup.merge_layers(layers, 2, 3, deepest=False).collect()} == {("x", "DedupDelete"), ("z", "DedupPut")}
 
 
+def test_runs_flush_compact_and_read_alike(spark, tmp_path):
+    rng = random.Random(5)
+    rows = [(i + 1, rng.choice(["DedupPut", "DedupPut", "DedupDelete"]), f"{rng.randrange(30):02x}", rng.randrange(9)) for i in range(200)]
+    log = spark.createDataFrame(rows, "lsn long, op string, hash string, pba long")
+    layers = None
+    for k in range(4):
+        run = dedup.flush_run(log, 50 * k, 50 * k + 50, k + 1)
+        layers = run if layers is None else layers.unionByName(run)
+    layers = layers.drop("lsn").cache()
+    want = {(r.hash, r.pba) for r in dedup.current(log).collect()}
+    for first, last in ((1, 4), (3, 4), (1, 2), (2, 3)):
+        assert {(r.hash, r.pba) for r in dedup.scan_layers(dedup.compacted(layers, first, last)).collect()} == want
+    assert dedup.compacted(layers, 1, 4).where("op = 'DedupDelete'").count() == 0 < dedup.compacted(layers, 3, 4).where("op = 'DedupDelete'").count()
+    dedup.write_run(dedup.compacted(layers, 1, 4), str(tmp_path / "run"), partitions=3)
+    assert {(r.hash, r.pba) for r in spark.read.parquet(str(tmp_path / "run")).collect()} == want
+
+
 def test_running_sum_in_buckets(spark):
     rng = random.Random(1)
     rows = [(k, rng.randrange(3), rng.randrange(-2, 5)) for k in range(200)]
@@ -239,6 +256,19 @@ def test_rates_hints_and_samples(spark, tmp_path):
     assert spark.range(1).select(metrics.per_event(F.lit(5), F.lit(0)), metrics.saturating_delta(F.lit(1), F.lit(3))).first() == (0.0, 0)
 
 
+def test_reports_and_json(spark, tmp_path):
+    samples = spark.createDataFrame([(0, 0, 0, 0, 0, 0, 0), (4000, 40, 8, 800, 2, 20, 400)], "ts_ms long, last_applied_lsn long, commit_success long, commit_us long, wal_batches long, wal_records long, wal_us long")
+    r = metrics.report(samples, 5).first()
+    assert (r.lsn_per_s, r.commits_per_s, r.wal_batch, r.commit_us, r.wal_share) == (10.0, 2.0, 10.0, 100.0, 50.0)
+    assert metrics.hints(metrics.report(samples, 5)).first().hints == ["wal is a large share of commit time"]
+    assert metrics.report(samples.select("ts_ms"), 5).first().commits == 0
+    t = metrics.throughput(spark.createDataFrame([("get", 10, 40, 2000), ("none", 1, 1, 0)], "scenario string, ops long, items long, ms long")).collect()
+    assert [(x.ops_per_s, x.items_per_s) for x in t] == [(5.0, 20.0), (0.0, 0.0)]
+    assert metrics.as_json(spark.createDataFrame([(1, bytearray(b"\x0a\xff"))], "a int, b binary")).first().json == '{"a":1,"b":"0aff"}'
+    metrics.write_samples(samples, str(tmp_path / "s"))
+    assert metrics.read_samples(spark, str(tmp_path / "s"), "ts_ms long, wal_us long").count() == 2
+
+
 def test_log_checks(spark):
     arrivals = spark.createDataFrame(list(enumerate([1, 2, 3, 3, 5, 4, 6])), "arrived long, lsn long")
     assert [r.arrived for r in audit.order_report(arrivals, bucket=2).orderBy("arrived").collect()] == [3, 5]

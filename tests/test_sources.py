@@ -69,6 +69,16 @@ def test_range_delete_and_checkpoint(spark, tmp_path):
     assert held(a.l2p(0)) == {k: 100 + k for k in (0, 1, 6, 7)} == held(a.state_from(at, lsn))
 
 
+def test_cleanup_of_dead_addresses(spark, tmp_path):
+    a = Ledger.create(spark, str(tmp_path / "l"))
+    entry = "op_seq int, op string, pba long, hash string"
+    a.append(spark.createDataFrame([(0, "DedupPut", 1, "h1"), (1, "DedupReversePut", 1, "h1"), (2, "DedupPut", 1, "h2"), (3, "DedupReversePut", 1, "h2")], entry))
+    a.append(spark.createDataFrame([(0, "DedupPut", 2, "h1"), (1, "DedupReversePut", 2, "h1")], entry))
+    assert a.cleanup(spark.createDataFrame([(1,)], "pba long")) == 3
+    assert {(r.hash, r.pba) for r in a.forward_index().collect()} == {("h1", 2)} == {(r.hash, r.pba) for r in a.reverse_index().collect()}
+    assert a.cleanup(spark.createDataFrame([(1,)], "pba long")) == 3  # nothing left: no record
+
+
 VALUE = bytes(range(28)).hex()
 HASH = bytes(range(32)).hex()
 RECORDS = [
