@@ -25,7 +25,7 @@ CTE = {
         (user_id % 4)::INT AS vol_ord, floor(user_id / 4)::BIGINT AS lba,
         CASE WHEN event_type = 'error' THEN NULL ELSE json_extract_string(props, '$.k')::BIGINT END AS pba,
         CASE WHEN event_type = 'error' THEN NULL ELSE (event_id % 3)::BIGINT END AS salt FROM events""",
-    "snaps": "SELECT id, vol_ord, (top * percent // 100)::BIGINT AS created_lsn FROM (VALUES (1, 0, 40), (2, 0, 90), (3, 1, 50)) v(id, vol_ord, percent), (SELECT max(lsn) AS top FROM op_log)",
+    "snaps": "SELECT id, vol_ord, (top * percent // 100)::BIGINT AS created_lsn FROM (VALUES (1::BIGINT, 0, 40), (2, 0, 90), (3, 1, 50)) v(id, vol_ord, percent), (SELECT max(lsn) AS top FROM op_log)",
     "live": "SELECT * EXCLUDE (rn, op) FROM (SELECT vol_ord, lba, pba, salt, lsn, op, row_number() OVER (PARTITION BY vol_ord, lba ORDER BY lsn DESC) AS rn FROM op_log) WHERE rn = 1 AND op <> 'L2pDelete'",
     "snapped": "SELECT * EXCLUDE (rn, op) FROM (SELECT s.id AS snap_id, l.vol_ord, lba, pba, salt, op, row_number() OVER (PARTITION BY s.id, lba ORDER BY lsn DESC) AS rn FROM op_log l JOIN snaps s ON l.vol_ord = s.vol_ord AND lsn <= created_lsn) WHERE rn = 1 AND op <> 'L2pDelete'",
     "prev": "SELECT *, lag(pba) OVER w AS prev_pba, lag(salt) OVER w AS prev_salt FROM op_log WINDOW w AS (PARTITION BY vol_ord, lba ORDER BY lsn, op_seq)",
