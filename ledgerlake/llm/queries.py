@@ -33,6 +33,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op1_chunk_recipe_dedup": OP1_SQL,
     "op4_pfair_mix": OP4_SQL,
-    "op8_skipchain_pii": op8_skipchain_pii,
     "op9_site_line_dedup": OP9_SQL,
 }
