@@ -3,8 +3,9 @@
 A text's vector holds, for hashed 3-grams of the bytes of its letters, the root of the count times
 the inverse document frequency, scaled to length 1. Spherical k-means gives each language a few
 centroids; the language of the centroid with the largest cosine is predicted, and its cosine is the
-score. A text whose best cosine is below a fraction of what texts of that centroid usually reach is
-rejected.
+score. How high it gets depends on the language and on how many different 3-grams a text has: so
+each language has a limit by that number, from a low quantile of the cosines of its fitted texts, each
+with centroids that do not count the text itself. A text whose best cosine is below is rejected.
 
 Document frequencies are counted over all learning rows. Centroids are fitted on a bounded
 sample: FIT_ROWS learning rows of each language, those with the smallest hash of doc_id.
@@ -27,7 +28,9 @@ DIMS = 8192
 FIT_ROWS = 600
 CENTROIDS = 4
 ROUNDS = 12
-REJECT_BELOW = 0.04  # of the mean cosine of the fitted texts with their centroid
+LOW, MARGIN = 0.01, 0.8  # texts are rejected below MARGIN times this quantile of the fitted texts' cosines
+LEAST = 20  # fitted texts that a quantile is taken of, where there are as many
+HALVES = 2 * 13 + 2  # half octaves up to DIMS different grams, and one more
 NO_LANGUAGE = "und"
 
 _BYTES = np.where([chr(x).isalpha() or x > 127 for x in range(128)] + [True] * 128, np.arange(256), 32).astype(np.uint8)
@@ -69,23 +72,27 @@ class Model:
     idf: np.ndarray
     centroids: np.ndarray  # one a row
     language_of: np.ndarray
-    usual: np.ndarray  # mean cosine of the fitted texts of each centroid
+    limits: np.ndarray  # languages x HALVES: least cosine by half octaves of the number of different grams
 
     def predict(self, column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, score and whether it is rejected, of each text."""
         if not len(self.centroids):
             return [NO_LANGUAGE] * len(column), np.zeros(len(column)), np.ones(len(column), bool)
-        cosines = vectors(gram_counts(column), self.idf) @ self.centroids.T
+        counts = gram_counts(column)
+        halves = 2 * np.log2(np.maximum(np.count_nonzero(counts, axis=1), 1))
+        cosines = vectors(counts, self.idf) @ self.centroids.T
         best = cosines.argmax(1)
         score = np.clip(cosines[np.arange(len(best)), best].astype(np.float64), 0, 1)
         letters = np.array(has_letter(column.to_pylist()), bool)
         names = [self.languages[k] if ok else NO_LANGUAGE for k, ok in zip(self.language_of[best], letters)]
         score[~letters] = 0
-        return names, score, ~letters | (score < REJECT_BELOW * self.usual[best])
+        lower, k = halves.astype(int), self.language_of[best]
+        limit = self.limits[k, lower] + (halves - lower) * (self.limits[k, lower + 1] - self.limits[k, lower])
+        return names, score, ~letters | (score < limit)
 
 
 def _cluster(v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spherical k-means from the row that is nearest to the mean, then each time the farthest from those chosen."""
+    """Spherical k-means from the row that is nearest to the mean, then each time the farthest from those chosen. Also each row's best cosine, its own part taken out of its centroid."""
     chosen = [int((v @ v.mean(0)).argmax())]
     near = v @ v[chosen[0]]
     while len(chosen) < min(k, len(v)):
@@ -98,9 +105,32 @@ def _cluster(v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         norm = np.sqrt((sums**2).sum(1, keepdims=True))
         c = sums / np.where(norm > 0, norm, 1)
     cosines = v @ c.T
-    own, best = cosines.argmax(1), cosines.max(1)
+    own, rows = cosines.argmax(1), np.arange(len(v))
     full = [j for j in range(len(c)) if (own == j).any()]
-    return c[full], np.array([best[own == j].mean() for j in full])
+    sums = np.stack([v[own == j].sum(0) for j in range(len(c))])
+    dots, squares = np.einsum("ij,ij->i", v, sums[own]), (sums**2).sum(1)[own]
+    rest = np.sqrt(np.maximum(squares - 2 * dots + 1, 0))
+    cosines[rows, own] = np.where(rest > 1e-3, (dots - 1) / np.maximum(rest, 1e-3), 0)
+    return c[full], cosines[:, full].max(1)
+
+
+def _limits(grams: np.ndarray, cosines: np.ndarray) -> np.ndarray:
+    """The least cosine at each half octave of the number of different grams; it never falls with that number. Below the shortest fitted texts it goes with the root, beyond the longest it stays."""
+    halves = 2 * np.log2(grams)
+    knots, lows, group = [], [], []
+    order = [np.flatnonzero(halves.astype(int) == h) for h in np.unique(halves.astype(int))]
+    left = len(grams)
+    for rows in order:
+        group.append(rows)
+        left -= len(rows)
+        if left == 0 or (sum(map(len, group)) >= LEAST and left >= LEAST):
+            of = np.concatenate(group)
+            knots.append(halves[of].mean())
+            lows.append(MARGIN * max(0.0, np.quantile(cosines[of], LOW)))
+            group = []
+    grid = np.arange(HALVES)
+    lows = np.minimum.accumulate(lows[::-1])[::-1]
+    return np.interp(grid, knots, lows) * np.minimum(1, 2 ** ((grid - knots[0]) / 4))
 
 
 def fit(learning: DataFrame, fit_rows: int = FIT_ROWS, centroids: int = CENTROIDS) -> Model:
@@ -144,18 +174,18 @@ def fit(learning: DataFrame, fit_rows: int = FIT_ROWS, centroids: int = CENTROID
     parts: dict[str, list] = {}
     for r in sample.mapInArrow(thrifty(sparse), "lang string, place long, cells binary, counts binary").collect():
         parts.setdefault(r.lang, []).append((r.place, bytes(r.cells), bytes(r.counts)))
-    found, own, usual = [], [], []
+    found, own, limits = [], [], np.zeros((len(languages), HALVES))
     for k, lang in enumerate(languages):
         got = sorted(parts.get(lang, []))[: 2 * fit_rows]
         v = np.zeros((len(got), DIMS), np.float32)
         for i, (_, cells, counts) in enumerate(got):
             v[i, np.frombuffer(cells, "<u2")] = np.frombuffer(counts, "<f4")
         if len(v):
-            c, mean = _cluster(vectors(v, idf), centroids)
+            c, cosines = _cluster(vectors(v, idf), centroids)
             found.append(c)
             own += [k] * len(c)
-            usual += mean.tolist()
-    return Model(languages, idf, np.concatenate(found).astype(np.float32) if found else np.zeros((0, DIMS), np.float32), np.array(own, int), np.array(usual))
+            limits[k] = _limits(np.array([len(cells) // 2 for _, cells, _ in got]), cosines)
+    return Model(languages, idf, np.concatenate(found).astype(np.float32) if found else np.zeros((0, DIMS), np.float32), np.array(own, int), limits)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:

@@ -1,8 +1,10 @@
+import base64
 import zlib
 
 import numpy as np
 import pyarrow as pa
 from ledgerlake.llm import langid
+from pyspark.sql import functions as F
 
 SCHEMA = "doc_id long, text string, lang string, score int, rejected string, place int"
 WORDS = {"xx": "ka ro mi lun tes vo", "yy": "qez jub wiq zop fyx hud"}
@@ -70,3 +72,18 @@ def test_held_out_accuracy(spark):
     held = [r for r in got if r.held_out and lang[r.doc_id]]
     assert sum(r.lang_pred == lang[r.doc_id] for r in held) >= 0.98 * len(held)
     assert sum(r.rejected for r in got) < 0.005 * len(got)
+
+
+def test_what_is_no_learned_language_is_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    learning = docs.where(~langid.held_out())
+    model = langid.fit(learning)
+    clean = langid.predict(docs.where(langid.held_out() & F.col("lang").isNotNull() & F.col("text").rlike("[a-z]")), model)
+    assert clean.where("rejected").count() <= 0.003 * clean.count()
+    rng = np.random.default_rng(5)
+    words = [" ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), k)) for k in rng.integers(2, 10, n)) for n in (20, 300) * 20]
+    assert model.predict(pa.array(words))[2].all()
+    assert model.predict(pa.array([base64.b64encode(rng.bytes(n)).decode() for n in (150, 1500) * 20]))[2].all()
+    for lang, least in (("en", 0.4), ("de", 0.9), ("fr", 0.9), ("es", 0.9)):
+        other = langid.predict(docs.where(F.col("lang") == lang), langid.fit(learning.where(F.col("lang") != lang)))
+        assert other.where("rejected").count() >= least * other.count()
