@@ -77,8 +77,14 @@ def schedule(docs: DataFrame, shares: Mapping[str, int], default_share: int = 1,
     return out.select("doc_id", "source", "block", F.expr("block * total div share").alias("release"), (turn + F.col("_deadline")).alias("deadline"), (turn + F.col("_slot")).alias("slot"), "begins")
 
 
+def placed(rows: DataFrame, docs: DataFrame, shares: Mapping[str, int], default_share: int = 1, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """rows, all columns, which hold doc_ids of docs, with slot and begins of the schedule of docs: so the order of the mixed stream is told from any files. Rows of one doc_id take the first place of that id."""
+    plan = schedule(docs, shares, default_share, block_chars).groupBy(F.col("doc_id").alias("_id")).agg(F.min(F.struct("slot", "begins")).alias("_place"))
+    return rows.join(plan, rows["doc_id"].eqNullSafe(plan["_id"])).select(*(rows[c] for c in rows.columns), "_place.slot", "_place.begins")
+
+
 def mixed(docs: DataFrame, shares: Mapping[str, int], default_share: int = 1, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """docs, all rows and columns, in the order of the mixed stream; rows of one doc_id take the first place of that id."""
+    """docs, all rows and columns, in the order of the mixed stream; rows of one doc_id take the first place of that id. Files read again may lose the order: placed() has it as columns."""
     name = "_place"
     while any(c.lower().startswith(name) for c in docs.columns):
         name += "_"

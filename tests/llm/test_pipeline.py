@@ -39,6 +39,22 @@ def test_stages_in_turn(spark, tmp_path):
     assert all(r.decoded for r in seen["encode_pieces"][1].collect())
 
 
+def test_the_mixed_order_outlives_files_of_unequal_size(spark, tmp_path, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    mixed = corpus_pipeline.STAGES[3][1](spark, docs, SF)
+    rows = mixed.collect()
+    for a, b in ((0, 5), (5, 150), (150, 160), (160, len(rows))):
+        spark.createDataFrame(rows[a:b], docs.schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/mixed")
+    again = spark.read.parquet(f"{tmp_path}/mixed")
+    want = [r.doc_id for r in rows]
+    assert [r.doc_id for r in again.collect()] != want
+    got = corpus_pipeline.STAGES[4][1](spark, again, SF).collect()
+    assert [r.doc_id for r in sorted(got, key=lambda r: (r.slot, r.begins, r.doc_id))] == want
+    monkeypatch.setattr(pfair, "SHARES", {"src4": 9})
+    other = corpus_pipeline.STAGES[4][1](spark, again, SF).collect()
+    assert [r.doc_id for r in sorted(other, key=lambda r: (r.slot, r.begins, r.doc_id))] != want
+
+
 def test_odd_rows_and_extra_columns(spark):
     schema = "doc_id long, text string, lang string, source string, n_chars long, score int, _place string, cid long"
     rows = [(1, None, None, None, None), (2, "", "en", "", 0), (3, "the cat sat on the mat and the dog", "en", "s", 9), (3, "the cat sat on the mat and the dog", "en", "s", 9), (4, "the cat sat on the mat and the dog", None, "s", 9), (None, "a dog and a cat on the mat", "en", None, 1), (5, "the dog " * 40_000, "en", "t", 1)]
