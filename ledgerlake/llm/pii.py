@@ -47,7 +47,7 @@ NEAR = 40  # characters between nodes that share a chain potential
 FEATURES = 256
 AGREE, DISAGREE = 3000.0, 1.0  # prior counts of the skip potential
 ADD = 0.9
-ROUNDS, DAMPING = 30, 0.3
+SWEEPS, DAMPED_FROM, DAMPING = 200, 50, 0.3
 
 Span = tuple[int, int, int]  # start, kind, end
 
@@ -145,34 +145,48 @@ def edges(found: list[Node]) -> tuple[list[tuple[int, int]], list[tuple[int, int
 
 
 def marginals(unary: np.ndarray, chain: list[tuple[int, int]], skip: list[tuple[int, int]], chain_potential: np.ndarray, skip_potential: np.ndarray) -> np.ndarray:
-    """Label probabilities of each node by loopy sum-product; exact where the edges form a tree."""
-    n, labels = unary.shape
-    both = [*((a, b, chain_potential) for a, b in chain), *((a, b, skip_potential) for a, b in skip)]
-    if not both:
-        p = np.exp(unary - unary.max(1, keepdims=True))
-        return p / p.sum(1, keepdims=True)
-    a, b = (np.array([e[x] for e in both]) for x in (0, 1))
-    source, target = np.concatenate((a, b)), np.concatenate((b, a))
-    potential = np.exp(np.stack([*(e[2] for e in both), *(e[2].T for e in both)]))
-    back = np.concatenate((np.arange(len(a)) + len(a), np.arange(len(a))))
-    messages = np.zeros((len(source), labels))
-    for _ in range(max(ROUNDS, 2 * n if n <= 64 else 0)):
-        belief = unary.copy()
-        np.add.at(belief, target, messages)
-        rest = belief[source] - messages[back]
-        rest = np.exp(rest - rest.max(1, keepdims=True))
-        new = np.log(np.maximum(np.einsum("el,elm->em", rest, potential), 1e-300))
-        new -= new.max(1, keepdims=True)
-        moved = np.abs(new - messages).max()
-        messages = new if n <= 2 else DAMPING * messages + (1 - DAMPING) * new
-        if moved < 1e-6:
-            break
-    belief = unary.copy()
-    np.add.at(belief, target, messages)
+    """Label probabilities of each node by loopy sum-product; exact where the edges form a forest.
+
+    Messages go in sweeps, to later nodes in order and then to earlier ones, each from the newest
+    messages: one sweep takes a label along a chain of any length. Sweeps end when no message moves;
+    only where edges close a loop, for which nothing promises that, are they damped after DAMPED_FROM sweeps and ended after SWEEPS.
+    """
+    links = sorted([*((a, b, 0) for a, b in chain), *((a, b, 1) for a, b in skip)])
+    factors = [np.exp(x) for x in (chain_potential, skip_potential)]
+    loops = _closes_loop(len(unary), links)
+    belief = unary.astype(float)
+    later, earlier = (np.zeros((len(links), unary.shape[1])) for _ in range(2))
+    forward = [(e, a, b, factors[x]) for e, (a, b, x) in enumerate(links)]
+    backward = [(e, b, a, factors[x].T) for e, (a, b, x) in sorted(enumerate(links), key=lambda l: (-l[1][1], -l[1][0]))]
+    sweep, moved = 0, 1.0
+    while links and moved >= 1e-6 and (not loops or sweep < SWEEPS):
+        moved, step = 0.0, 1 - DAMPING if loops and sweep >= DAMPED_FROM else 1.0
+        for order, sent, received in ((forward, later, earlier), (backward, earlier, later)):
+            for e, source, target, factor in order:
+                rest = belief[source] - received[e]
+                new = np.log(np.maximum(np.exp(rest - rest.max()) @ factor, 1e-300))
+                change = step * (new - new.max() - sent[e])
+                sent[e] += change
+                belief[target] += change
+                moved = max(moved, np.abs(change).max())
+        sweep += 1
     p = np.exp(belief - belief.max(1, keepdims=True))
     return p / p.sum(1, keepdims=True)
 
 
+def _closes_loop(n: int, links: list[tuple[int, int, int]]) -> bool:
+    top = list(range(n))
+    for a, b, _ in links:
+        while top[a] != a:
+            top[a] = a = top[top[a]]
+        while top[b] != b:
+            top[b] = b = top[top[b]]
+        if a == b:
+            return True
+        top[b] = a
+    return False
+
+
 @dataclass
 class Field:
     weights: np.ndarray  # FEATURES x labels

@@ -54,6 +54,28 @@ def test_messages_against_all_labelings(chain, skip, close):
         assert np.abs(pii.marginals(unary, chain, skip, c, s) - brute_marginals(unary, chain, skip, c, s)).max() < close
 
 
+@pytest.mark.parametrize("n", [64, 65, 130, 300, 700])
+@pytest.mark.parametrize("observed", [0, "middle", "last"])
+def test_a_label_reaches_all_occurrences(n, observed):
+    """Against exact inference along the chain of equal keys, by forward and backward products."""
+    rng = np.random.default_rng(n)
+    unary, skip = rng.normal(0, 0.3, (n, 5)), 8 * np.eye(5)
+    at = {"middle": n // 2, "last": n - 1}.get(observed, 0)
+    unary[at] = -50
+    unary[at, 4] = 0
+    ahead, back = np.zeros((n, 5)), np.zeros((n, 5))
+    for k in range(1, n):
+        ahead[k] = np.logaddexp.reduce((ahead[k - 1] + unary[k - 1])[:, None] + skip, axis=0)
+        back[n - 1 - k] = np.logaddexp.reduce((back[n - k] + unary[n - k])[:, None] + skip, axis=0)
+        ahead[k] -= ahead[k].max()
+        back[n - 1 - k] -= back[n - 1 - k].max()
+    want = np.exp(unary + ahead + back - (unary + ahead + back).max(1, keepdims=True))
+    want /= want.sum(1, keepdims=True)
+    got = pii.marginals(unary, [], [(k - 1, k) for k in range(1, n)], np.zeros((5, 5)), skip)
+    assert np.abs(got - want).max() < 1e-6
+    assert ((got[:, 4] >= pii.ADD) == (want[:, 4] >= pii.ADD)).all()
+
+
 CARD = "4111 1111 1111 1111"
 
 
