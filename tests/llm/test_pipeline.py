@@ -29,7 +29,7 @@ def test_stages_in_turn(spark, tmp_path):
     before = seen["exact_dedup"][0]
     assert kept["exact_dedup"] == {r[0] for r in brute_exact([(r.doc_id, r.text) for r in before]) if r[3]}
     before = seen["near_dedup"][0]
-    assert kept["near_dedup"] == {r[0] for r in brute([(r.doc_id, r.text) for r in before]) if r[3]}
+    assert kept["near_dedup"] == {r[0] for r in brute([(r.doc_id, r.text) for r in before], 80) if r[3]}
     assert kept["mix_sources"] == kept["encode_pieces"] == kept["near_dedup"]
 
     before = spark.createDataFrame(seen["mix_sources"][0])
