@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.codec import reverse_key
-from ..functions.running import latest
+from ..functions.running import latest, previous
 
 
 def current(log: DataFrame, lsn: int | None = None) -> DataFrame:
@@ -52,6 +52,14 @@ def scan_layers(layers: DataFrame, prefix: str = "") -> DataFrame:
     return top.where("op = 'DedupPut'").select("hash", "pba", F.col("at").alias("layer"))
 
 
+def scan_prefixes(layers: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """pos, prefix, hash, pba: what is visible over all layers under each asked prefix (pos, prefix: a short list, broadcast), null where nothing is. Repeats are repeated."""
+    top = scan_layers(layers)
+    asked = prefixes.select("pos", "prefix")
+    found = top.join(F.broadcast(asked), F.col("hash").startswith(F.col("prefix"))).select("pos", "hash", "pba")
+    return asked.join(found, "pos", "left")
+
+
 def merge_layers(layers: DataFrame, first: int, last: int, deepest: bool) -> DataFrame:
     """Layers first to last as one run: newest wins; deletes go only if nothing lies deeper."""
     rows = layers.where(F.col("layer").between(first, last))
@@ -89,10 +97,10 @@ def pick_compaction(runs: DataFrame, l0_trigger: int = 4, level_ratio: int = 10,
     return level, sorted(own), sorted(r.below for r in below.collect())
 
 
-def order_faults(layers: DataFrame) -> DataFrame:
-    """Rows of a run whose hash is not above the one before it in file order (pos)."""
-    before = F.lag("hash").over(Window.partitionBy("layer").orderBy("pos"))
-    return layers.withColumn("before", before).where(F.col("hash") <= F.col("before"))
+def order_report(rows: DataFrame) -> DataFrame:
+    """layer, records, faults: how many rows each run holds, and how many have a hash that is not above the one before it. rows: layer, hash, pos (place in file order). Rows are compared within spans of places and across their borders."""
+    seen = previous(rows.select("layer", "hash", "pos"), ["layer"], ["pos"], ["hash"], bucket_by="pos")
+    return seen.groupBy("layer").agg(F.count(F.lit(1)).alias("records"), F.count_if(F.col("hash") <= F.col("prev_hash")).alias("faults"))
 
 
 def flush_run(log: DataFrame, after: int, upto: int, layer: int) -> DataFrame:
@@ -108,6 +116,21 @@ def compacted(layers: DataFrame, first: int, last: int) -> DataFrame:
     return layers.where(~F.col("layer").between(first, last)).select("layer", "hash", "op", "pba").unionByName(merged)
 
 
+def maintain(layers: DataFrame, runs: DataFrame, **limits) -> tuple[DataFrame, list[int], list[int]] | None:
+    """One round of compaction: the run that replaces those that pick_compaction names, and which they are (of the level, and below); None if nothing is due. layers: level, run, hash, op, pba, lsn; runs: their catalog.
+
+    The newest lsn of a hash wins, and deletes go only if no deeper level holds anything. The caller writes the run, then swaps the catalog, so a job that dies between the two leaves the old runs in force.
+    """
+    due = pick_compaction(runs, **limits)
+    if due is None:
+        return None
+    level, own, below = due
+    deepest = runs.where(F.col("level") > level + 1).isEmpty()
+    rows = layers.where(F.col("run").isin(own + below))
+    top = latest(rows.withColumn("at", F.col("lsn")), ["hash"], ["lsn"], ["op", "pba", "at"]).select(F.lit(level + 1).alias("level"), "hash", "op", "pba", F.col("at").alias("lsn"))
+    return (top.where("op = 'DedupPut'") if deepest else top), own, below
+
+
 def write_run(run: DataFrame, path: str, key: str = "hash", partitions: int | None = None) -> None:
     """A run on disk: ranges of the key, sorted, with row-group limits and a Bloom filter, so that a point read opens few row groups."""
     dealt = run.repartitionByRange(key) if partitions is None else run.repartitionByRange(partitions, key)

@@ -2,36 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.running import running_sum
 from ..plans.work import staged
 from ..sources.schema import RANGE_DELETE_ROWS
-from .refcount import ORDER, deltas, freed, running
-from .state import VALUE, l2p_at, with_previous
+from .refcount import ORDER, current, deltas, freed
+from .state import VALUE, with_previous
 
 
-def outcomes(log: DataFrame) -> DataFrame:
-    """One row per map operation: its previous value, and the address it freed if a count went to zero by it."""
-    gone = freed(log).withColumnRenamed("pba", "freed_pba")
+def outcomes(log: DataFrame, snapshots: DataFrame | None = None) -> DataFrame:
+    """One row per map operation: its previous value, and the address it freed if a count went to zero by it. With snapshots (as in deltas) a value that one pins is not freed."""
+    gone = freed(log, snapshots).withColumnRenamed("pba", "freed_pba")
     out = with_previous(log).join(gone, ORDER, "left")
     return out.select(*ORDER, "op", "vol_ord", "lba", *(f"prev_{v}" for v in VALUE), "freed_pba")
 
 
-def coalesced(log: DataFrame, by: str = "lsn") -> DataFrame:
+def coalesced(log: DataFrame, by: str | Column = "lsn") -> DataFrame:
     """Changes of one record and sign, summed per address; how many operations they stand for."""
     d = deltas(log)
     return d.groupBy(by, "pba", (F.col("delta") > 0).alias("adds")).agg(F.sum("delta").alias("delta"), F.count(F.lit(1)).alias("ops"))
 
 
-def range_delete_plan(log: DataFrame, vol: int, start: int, end: int, lsn: int | None = None) -> DataFrame:
-    """lba, value and chunk of each mapped block in [start, end): a range delete captures these, in records of at most RANGE_DELETE_ROWS blocks. Blocks are numbered after sums over spans of blocks, not in one task."""
-    rows = l2p_at(log.where(F.col("vol_ord") == vol), lsn).where((F.col("lba") >= start) & (F.col("lba") < end)).select("lba", *VALUE)
+def range_delete_plan(view: DataFrame, start: int, end: int) -> DataFrame:
+    """lba, value, chunk and op_seq of each mapped block of view (a volume's map, a clone's with what it inherits) in [start, end): a range delete captures these, in records (chunk) of at most RANGE_DELETE_ROWS blocks. Blocks are numbered after sums over spans of blocks, not in one task."""
+    rows = view.where((F.col("lba") >= start) & (F.col("lba") < end)).select("lba", *VALUE)
     rows = rows.withColumn("span", F.expr(f"lba div {RANGE_DELETE_ROWS}"))
     spans = rows.groupBy("span").agg(F.count(F.lit(1)).alias("n"))
-    spans = spans.select("span", (F.sum("n").over(Window.orderBy("span")) - F.col("n")).alias("before"))
+    spans = running_sum(spans, None, ["span"], "n", "upto", bucket_by="span").select("span", (F.col("upto") - F.col("n")).alias("before"))
     number = F.row_number().over(Window.partitionBy("span").orderBy("lba")) - 1 + F.col("before")
-    return rows.join(spans, "span").withColumn("n", number).select("lba", *VALUE, F.expr(f"n div {RANGE_DELETE_ROWS}").alias("chunk"))
+    rows = rows.join(spans, "span").withColumn("n", number)
+    return rows.select("lba", *VALUE, F.expr(f"n div {RANGE_DELETE_ROWS}").alias("chunk"), F.expr(f"cast(n % {RANGE_DELETE_ROWS} as int)").alias("op_seq"))
 
 
 def range_delete_freed(log: DataFrame, pinned: DataFrame, plan: DataFrame, vol: int) -> DataFrame:
@@ -39,32 +41,30 @@ def range_delete_freed(log: DataFrame, pinned: DataFrame, plan: DataFrame, vol:
     t = plan.withColumn("vol_ord", F.lit(vol))
     t = t.join(pinned, ["vol_ord", "lba", *VALUE], "left_anti")
     gone = t.groupBy("pba").agg(F.count(F.lit(1)).alias("decrefs"))
-    before = running(log).groupBy("pba").agg(F.max_by("rc", F.struct(*ORDER)).alias("rc"))
+    before = current(log)
     return gone.join(before, "pba").select("pba", "decrefs", (F.col("rc") - F.col("decrefs")).alias("rc_after"))
 
 
-def guarded(log: DataFrame, most_rounds: int = 200) -> DataFrame:
+def guarded(log: DataFrame, snapshots: DataFrame | None = None) -> DataFrame:
     """log with applied: whether each operation took effect. A guarded remap does iff guard_pba has at least guard_min_rc references just before it, given which earlier operations did.
 
     All are taken first; each round counts references under what the round before decided and
-    decides again. The earliest undecided guard is right from then on, so a round that changes nothing
-    has the sequential answer. Every round is written out, so its plan does not grow.
+    decides again. The earliest guard that is not yet right is right from then on, so rounds end, with the sequential answer: after the
+    length of the longest chain of guards of which each decides the next, however long. Every round is written out, so its plan does not grow.
     """
     spark = log.sparkSession
-    guards = log.where("guard_pba is not null").select(*ORDER, F.col("guard_pba").alias("pba"), "guard_min_rc")
+    guards = log.where("guard_pba is not null").select(*ORDER, F.col("guard_pba").alias("pba"), F.col("guard_min_rc").cast("long").alias("guard_min_rc"))
+    guards = staged(spark, guards, "probes")
+    probes = guards.select(*ORDER, "pba", F.lit(0).cast("long").alias("delta"), F.lit(0).alias("turn"), "guard_min_rc")
     decided = staged(spark, guards.select(*ORDER, F.lit(True).alias("applied")), "guards")
-    for _ in range(most_rounds):
+    while True:
         rejected = decided.where("not applied").select(*ORDER)
-        changes = deltas(log.join(rejected, ORDER, "left_anti")).select(*ORDER, "pba", "delta", F.lit(1).alias("turn"), F.lit(None).cast("long").alias("guard_min_rc"))
-        probes = guards.select(*ORDER, "pba", F.lit(0).cast("long").alias("delta"), F.lit(0).alias("turn"), F.col("guard_min_rc").cast("long").alias("guard_min_rc"))
-        so_far = Window.partitionBy("pba").orderBy(*ORDER, "turn").rowsBetween(Window.unboundedPreceding, 0)
-        seen = changes.unionByName(probes).withColumn("rc", F.sum("delta").over(so_far)).where("turn = 0")
-        now = seen.select(*ORDER, (F.col("rc") >= F.col("guard_min_rc")).alias("applied"))
-        now = staged(spark, now, "guards")
+        changes = deltas(log.join(rejected, ORDER, "left_anti"), snapshots)
+        changes = changes.join(guards.select("pba").distinct(), "pba", "left_semi")
+        changes = changes.select(*ORDER, "pba", "delta", F.lit(1).alias("turn"), F.lit(None).cast("long").alias("guard_min_rc"))
+        seen = running_sum(changes.unionByName(probes), "pba", [*ORDER, "turn"], "delta", "rc").where("turn = 0")
+        now = staged(spark, seen.select(*ORDER, (F.col("rc") >= F.col("guard_min_rc")).alias("applied")), "guards")
         moved = now.join(decided.withColumnRenamed("applied", "was"), ORDER).where("applied <> was")
         decided = now
         if moved.isEmpty():
             return log.join(decided.where("not applied").select(*ORDER, F.lit(False).alias("_no")), ORDER, "left").withColumn("applied", F.coalesce("_no", F.lit(True))).drop("_no")
-    raise RuntimeError(f"guards did not settle in {most_rounds} rounds")
-
-

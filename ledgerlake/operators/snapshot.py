@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from .refcount import pinned_tuples
+from .refcount import live_snapshots, pinned_tuples
 from .state import VALUE, l2p_at, l2p_at_snapshots
 
 
@@ -22,27 +22,32 @@ def diff(a: DataFrame, b: DataFrame) -> DataFrame:
     return out.select("lba", kind.alias("kind"), *(F.col(f"a.{v}").alias(f"old_{v}") for v in VALUE), *(F.col(f"b.{v}").alias(f"new_{v}") for v in VALUE))
 
 
-def _snapshot(snapshots: DataFrame, snap_id: int):
-    row = snapshots.where(F.col("id") == snap_id).first()
+def _snapshot(snapshots: DataFrame, snap_id: int) -> Row:
+    row = live_snapshots(snapshots).where(F.col("id") == snap_id).first()
     if row is None:
         raise InvalidArgument(f"unknown snapshot {snap_id}")
     return row
 
 
 def snapshot_map(log: DataFrame, snapshots: DataFrame, snap_id: int) -> DataFrame:
-    s = _snapshot(snapshots, snap_id)
+    """The block map of a snapshot; of a clone's, if log is that of state.with_inherited."""
+    return _map(log, _snapshot(snapshots, snap_id))
+
+
+def _map(log: DataFrame, s: Row) -> DataFrame:
     return l2p_at(log.where(F.col("vol_ord") == s.vol_ord), s.created_lsn)
 
 
 def snapshot_diff(log: DataFrame, snapshots: DataFrame, first: int, second: int) -> DataFrame:
-    if _snapshot(snapshots, first).vol_ord != _snapshot(snapshots, second).vol_ord:
+    a, b = _snapshot(snapshots, first), _snapshot(snapshots, second)
+    if a.vol_ord != b.vol_ord:
         raise InvalidArgument("snapshots of different volumes")
-    return diff(snapshot_map(log, snapshots, first), snapshot_map(log, snapshots, second))
+    return diff(_map(log, a), _map(log, b))
 
 
 def diff_with_current(log: DataFrame, snapshots: DataFrame, snap_id: int) -> DataFrame:
     s = _snapshot(snapshots, snap_id)
-    return diff(snapshot_map(log, snapshots, snap_id), l2p_at(log.where(F.col("vol_ord") == s.vol_ord)))
+    return diff(_map(log, s), l2p_at(log.where(F.col("vol_ord") == s.vol_ord)))
 
 
 def drop_releases(log: DataFrame, snapshots: DataFrame, snap_id: int, current_only: bool = False) -> DataFrame:
@@ -55,7 +60,7 @@ def drop_releases(log: DataFrame, snapshots: DataFrame, snap_id: int, current_on
 
 
 def drop_decrefs(log: DataFrame, snapshots: DataFrame, snap_id: int) -> DataFrame:
-    """pba, decrefs, rc_before, rc_after, freed of dropping it; rc is the closed form, so it never goes below zero."""
+    """pba, decrefs, rc_before, rc_after, freed of dropping it; rc is the closed form, so it never goes below zero. A clone holds what it inherits, if log is that of state.with_inherited."""
     gone = drop_releases(log, snapshots, snap_id).groupBy("pba").agg(F.count(F.lit(1)).alias("decrefs"))
     before = pinned_tuples(log, snapshots).groupBy("pba").agg(F.count(F.lit(1)).alias("rc_before"))
     out = gone.join(before, "pba").withColumn("rc_after", F.col("rc_before") - F.col("decrefs"))

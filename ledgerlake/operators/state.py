@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.running import latest
+from ..functions.running import latest, previous
 
 MAPS = ("L2pPut", "L2pRemap", "L2pDelete")
 KEY, ORDER, VALUE = ["vol_ord", "lba"], ["lsn", "op_seq"], ["pba", "salt"]
@@ -21,7 +21,7 @@ def l2p_at(log: DataFrame, lsn: int | Column | None = None) -> DataFrame:
 
 
 def l2p_at_snapshots(log: DataFrame, snapshots: DataFrame) -> DataFrame:
-    """snap_id and the block map of its volume at its lsn, for all snapshots (a small catalog) at once."""
+    """snap_id and the block map of its volume at its lsn, for all snapshots (a small catalog) at once. For snapshots of clones, log is that of with_inherited."""
     s = snapshots.select(F.col("id").alias("snap_id"), F.col("vol_ord").alias("s_vol"), "created_lsn")
     rows = log.where(F.col("op").isin(*MAPS)).select(*ORDER, "op", *KEY, *VALUE)
     rows = rows.join(F.broadcast(s), (F.col("vol_ord") == F.col("s_vol")) & (F.col("lsn") <= F.col("created_lsn")))
@@ -56,9 +56,7 @@ def l2p_range(state: DataFrame, vol: int, start: int | None = None, end: int | N
 
 def with_previous(log: DataFrame) -> DataFrame:
     """Each map operation with prev_pba, prev_salt: what its block held before; null for none or deleted."""
-    w = Window.partitionBy(*KEY).orderBy(*ORDER)
-    rows = log.where(F.col("op").isin(*MAPS))
-    return rows.withColumns({f"prev_{c}": F.lag(c).over(w) for c in VALUE})
+    return previous(log.where(F.col("op").isin(*MAPS)), KEY, ORDER, VALUE).select(*log.columns, *(f"prev_{v}" for v in VALUE))
 
 
 def lineage(spark: SparkSession, catalog: DataFrame, vol: int) -> list[tuple[int, int | None]]:
@@ -73,13 +71,40 @@ def lineage(spark: SparkSession, catalog: DataFrame, vol: int) -> list[tuple[int
     return out
 
 
-def clone_view(log: DataFrame, catalog: DataFrame, vol: int) -> DataFrame:
-    """The block map of a volume with what it inherits: a block that it or a nearer ancestor wrote or deleted hides the farther ones."""
+def clone_view(log: DataFrame, catalog: DataFrame, vol: int, lsn: int | None = None, only_inherited: bool = False) -> DataFrame:
+    """The block map of a volume (as of lsn, or now) with what it inherits: a block that it or a nearer ancestor wrote or deleted hides the farther ones. only_inherited: what it began with."""
     parts = None
     for depth, (v, bound) in enumerate(lineage(log.sparkSession, catalog, vol)):
+        if only_inherited and not depth:
+            continue
+        bound = lsn if bound is None else bound if lsn is None else min(lsn, bound)
         own = log.where((F.col("vol_ord") == v) & F.col("op").isin(*MAPS))
         own = own if bound is None else own.where(F.col("lsn") <= bound)
         own = own.withColumn("nearness", F.lit(-depth))
         parts = own if parts is None else parts.unionByName(own)
     top = latest(parts.withColumn("own", F.col("nearness") == 0), ["lba"], ["nearness", *ORDER], ["op", *VALUE, "own"])
     return top.where("op <> 'L2pDelete'").select(F.lit(vol).alias("vol_ord"), "lba", *VALUE, "own")
+
+
+#: Places in a record, after all its operations: a clone's inherited blocks, and the end of a dropped volume.
+INHERITED, ENDED = (1 << 31) - 2, (1 << 31) - 1
+
+
+def with_inherited(log: DataFrame, catalog: DataFrame) -> DataFrame:
+    """The map operations of log, with what the catalog implies spelled out: a clone begins with a put of each block of its source, and a dropped volume ends with a delete of each of its own.
+
+    On this log every view by volume (counts, snapshots of clones, range deletes) needs no lineage. It holds a row for each block
+    that a clone shares, as counts must; reads of one volume have clone_view, which copies nothing.
+    """
+    names = [*ORDER, "op", *KEY, *VALUE]
+    own = log.where(F.col("op").isin(*MAPS)).select(*names)
+    out = own
+    for v in sorted(catalog.collect(), key=lambda r: r.ord):
+        if v.src_ord is not None:
+            source = clone_view(own, catalog, v.ord, only_inherited=True)
+            out = out.unionByName(source.select(F.lit(v.created_lsn).cast("long").alias("lsn"), F.lit(INHERITED).alias("op_seq"), F.lit("L2pPut").alias("op"), F.lit(v.ord).alias("vol_ord"), "lba", *VALUE))
+        if v.dropped_lsn is not None:
+            last = clone_view(own, catalog, v.ord)
+            gone = [F.lit(None).cast("long").alias(x) for x in VALUE]
+            out = out.unionByName(last.select(F.lit(v.dropped_lsn).cast("long").alias("lsn"), F.lit(ENDED).alias("op_seq"), F.lit("L2pDelete").alias("op"), F.lit(v.ord).alias("vol_ord"), "lba", *gone))
+    return out

@@ -31,6 +31,11 @@ def latency_summary(samples: DataFrame, value: str, shares: tuple[float, ...] =
     return ranked.agg(F.first("total").alias("n"), F.first("avg").alias("avg"), *picks, F.first("max").alias("max"))
 
 
+def write_report(rows: DataFrame, path: str, kind: str) -> None:
+    """Events or a run's summary as JSON lines, each with the kind of record that it is."""
+    rows.withColumn("kind", F.lit(kind)).write.mode("append").json(path)
+
+
 def read_samples(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON lines, blank ones skipped; a line that does not fit the schema is an error."""
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
@@ -78,22 +83,47 @@ def throughput(runs: DataFrame) -> DataFrame:
     return runs.withColumns({"ops_per_s": F.when(s > 0, F.col("ops") / s).otherwise(F.lit(0.0)), "items_per_s": F.when(s > 0, F.col("items") / s).otherwise(F.lit(0.0))})
 
 
+# Figures of the report. A rate is a counter's growth per second; a mean is one counter's growth over another's.
+RATES = (
+    ("lsn_per_s", "last_applied_lsn"), ("commits_per_s", "commit_success"), ("ops_per_s", "commit_ops"), ("records_per_s", "wal_records"), ("batches_per_s", "wal_batches"),
+    ("range_deletes_per_s", "range_delete_calls"), ("range_noops_per_s", "range_delete_noop"), ("cleanups_per_s", "cleanup_calls"), ("cleanup_noops_per_s", "cleanup_noop"),
+    ("cache_hits_per_s", "hits"), ("cache_misses_per_s", "misses"),
+)
+MEANS = (
+    ("wal_batch", "wal_records", "wal_batches"),
+    ("commit_us", "commit_total_us", "commit_success"), ("wal_us", "commit_wal_submit_us", "commit_success"), ("drop_gate_us", "commit_drop_gate_wait_us", "commit_success"),
+    ("apply_wait_us", "commit_apply_wait_us", "commit_success"), ("apply_gate_us", "commit_apply_gate_wait_us", "commit_success"), ("apply_us", "commit_apply_us", "commit_success"),
+    ("fsync_us", "wal_fsync_us", "wal_fsyncs"), ("write_us", "wal_write_us", "wal_batches"),
+    ("range_captured", "range_delete_captured_entries", "range_delete_calls"), ("range_chunks", "range_delete_chunks", "range_delete_calls"),
+    ("range_delete_us", "range_delete_total_us", "range_delete_success"), ("range_scan_us", "range_delete_scan_us", "range_delete_calls"),
+    ("range_wal_us", "range_delete_wal_us", "range_delete_chunks"), ("range_wait_us", "range_delete_apply_wait_us", "range_delete_chunks"), ("range_apply_us", "range_delete_apply_us", "range_delete_chunks"),
+    ("cleanup_addresses", "cleanup_pbas", "cleanup_calls"), ("cleanup_hashes", "cleanup_hashes_found", "cleanup_calls"), ("cleanup_ops", "cleanup_tx_ops", "cleanup_calls"),
+    ("cleanup_us", "cleanup_total_us", "cleanup_success"), ("cleanup_scan_us", "cleanup_scan_us", "cleanup_calls"),
+    ("cleanup_check_us", "cleanup_forward_check_us", "cleanup_forward_checks"), ("cleanup_commit_us", "cleanup_commit_us", "cleanup_success"),
+)
+#: Shares in percent of the mean commit, which counts as a microsecond at least.
+SHARES = (("wal_share", "wal_us"), ("drop_gate_share", "drop_gate_us"), ("apply_wait_share", "apply_wait_us"), ("apply_share", "apply_us"))
+#: Figures that are the last sample's own.
+LAST = (
+    "high_water", "wal_batch_records_max", "commit_total_max_us", "commit_wal_submit_max_us", "commit_drop_gate_wait_max_us", "commit_apply_wait_max_us", "wal_fsync_max_us",
+    "range_delete_total_max_us", "cleanup_total_max_us", "current_bytes", "pinned_bytes",
+)
+
+
 def report(samples: DataFrame, n: int) -> DataFrame:
-    """One row over the last n samples: lsns, transactions and batches per second, records a batch, mean commit time, and what share of it went to the log. Counters that samples lack count as 0."""
-    names = ["last_applied_lsn", "commit_success", "commit_us", "wal_batches", "wal_records", "wal_us"]
-    have = samples.select("ts_ms", *((F.col(c) if c in samples.columns else F.lit(0)).cast("long").alias(c) for c in names))
-    r = rates(have, n, names)
-    d = {c: F.col(f"{c}_delta") for c in names}
-    return r.select(
-        "seconds",
-        d["commit_success"].alias("commits"),
-        F.col("last_applied_lsn_rate").alias("lsn_per_s"),
-        F.col("commit_success_rate").alias("commits_per_s"),
-        F.col("wal_batches_rate").alias("batches_per_s"),
-        per_event(d["wal_records"], d["wal_batches"]).alias("wal_batch"),
-        per_event(d["commit_us"], d["commit_success"]).alias("commit_us"),
-        (100 * per_event(d["wal_us"], d["commit_us"])).alias("wal_share"),
-    )
+    """One row over the last n samples: seconds, commits, the figures of RATES, MEANS, SHARES and LAST. Counters that samples lack count as 0, and so do means over nothing."""
+    counters = dict.fromkeys([c for _, c in RATES] + [c for _, *both in MEANS for c in both])
+    have = samples.select("ts_ms", *((F.col(c) if c in samples.columns else F.lit(0)).cast("long").alias(c) for c in [*counters, *LAST]))
+    w = window(have, n)
+    ends = w.agg((F.max("ts_ms") - F.min("ts_ms")).alias("ms"), *((F.coalesce(F.max_by(c, "ts_ms"), F.lit(0)) - F.coalesce(F.min_by(c, "ts_ms"), F.lit(0))).cast("long").alias(f"_{c}") for c in counters), *(F.coalesce(F.max_by(c, "ts_ms"), F.lit(0)).alias(c) for c in LAST))
+    seconds = F.col("ms") / 1000.0
+    out = ends.select(
+        seconds.alias("seconds"), F.col("_commit_success").alias("commits"),
+        *(F.when(seconds > 0, F.col(f"_{c}") / seconds).otherwise(F.lit(0.0)).alias(name) for name, c in RATES),
+        *(per_event(F.col(f"_{a}"), F.col(f"_{b}")).alias(name) for name, a, b in MEANS),
+        *LAST,
+    )
+    return out.withColumns({name: 100 * F.col(of) / F.greatest("commit_us", F.lit(1.0)) for name, of in SHARES})
 
 
 def as_json(rows: DataFrame, name: str = "json") -> DataFrame:

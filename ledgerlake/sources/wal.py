@@ -9,11 +9,12 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .schema import OP_TAGS
+from .schema import OP_LOG, OP_TAGS
 
 # Fixed values of the format. Record: lsn, length of the body, crc32c of the body, little-endian; body: version,
 # then for each operation a tag and its fields, big-endian.
@@ -50,22 +51,41 @@ class Corruption(ValueError):
     """Bytes that are no log."""
 
 
-def _table() -> list[int]:
-    out = []
-    for n in range(256):
-        for _ in range(8):
-            n = n >> 1 ^ (CRC32C_POLYNOMIAL if n & 1 else 0)
-        out.append(n)
-    return out
+def _table() -> np.ndarray:
+    n = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        n = np.where(n & 1, n >> 1 ^ np.uint32(CRC32C_POLYNOMIAL), n >> 1)
+    return n
 
 
 _CRC = _table()
+_LANES = 256
+
+
+def _after_zeros(width: int) -> np.ndarray:
+    """For each byte of a register, what it becomes when `width` zero bytes follow: 4 x 256 words."""
+    out = np.array([np.arange(256, dtype=np.uint32) << np.uint32(8 * k) for k in range(4)])
+    for _ in range(width):
+        out = _CRC[out & 255] ^ out >> np.uint32(8)
+    return out
 
 
 def crc32c(data: bytes) -> int:
-    c = 0xFFFFFFFF
+    """The register is linear in the data, so long data are taken as _LANES stretches side by side, a byte of each at a time, and their registers are joined by what the rest of the data does to each."""
+    c = np.uint32(0xFFFFFFFF)
+    width = len(data) // _LANES
+    if width >= 16:
+        lanes = np.frombuffer(data, np.uint8, width * _LANES).reshape(_LANES, width).T.astype(np.uint32)
+        registers = np.zeros(_LANES, np.uint32)
+        for column in lanes:
+            registers = _CRC[(registers ^ column) & 255] ^ registers >> np.uint32(8)
+        shift = _after_zeros(width)
+        for r in registers:
+            c = shift[0][c & 255] ^ shift[1][c >> 8 & 255] ^ shift[2][c >> 16 & 255] ^ shift[3][c >> 24] ^ r
+        data = data[width * _LANES :]
+    c, table = int(c), _CRC.tolist()
     for b in data:
-        c = _CRC[(c ^ b) & 255] ^ c >> 8
+        c = table[(c ^ b) & 255] ^ c >> 8
     return c ^ 0xFFFFFFFF
 
 
@@ -153,10 +173,15 @@ def decode_segment(data: bytes) -> Iterator[tuple[int, list[dict] | None, str |
         at += HEADER.size + size
 
 
-def read_segments(spark: SparkSession, path: str, from_lsn: int = 0) -> DataFrame:
-    """The operations of all segments under path with lsn >= from_lsn, in columns of SCHEMA; a torn end is one row with error. One task a segment."""
+def _decoded(from_lsn: int):
+    """For mapInArrow over path, content: the operations with lsn >= from_lsn, a segment at a time."""
     from decimal import Decimal
 
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    schema = to_arrow_schema(_parse_datatype_string(SCHEMA))
+
     def number(x):
         return None if x is None else Decimal(x)
 
@@ -174,13 +199,24 @@ def read_segments(spark: SparkSession, path: str, from_lsn: int = 0) -> DataFram
                             if "captured" in op:
                                 row["captured"] = [{"lba": number(x["lba"]), "value": x["value"]} for x in op["captured"]]
                             rows.append(row)
+                    if len(rows) >= 1 << 14:
+                        yield pa.RecordBatch.from_pylist(rows, schema)
+                        rows = []
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
-    from pyspark.sql.pandas.types import to_arrow_schema
+    return run
+
 
-    schema = to_arrow_schema(spark.createDataFrame([], SCHEMA).schema)
+def read_segments(spark: SparkSession, path: str, from_lsn: int = 0) -> DataFrame:
+    """The operations of all segments under path with lsn >= from_lsn, in columns of SCHEMA; a torn end is one row with error. One task a segment."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "wal-*.log").load(path).select("path", "content")
-    return files.mapInArrow(run, SCHEMA)
+    return files.mapInArrow(_decoded(from_lsn), SCHEMA)
+
+
+def through_segments(log: DataFrame, records_a_segment: int = 4096) -> DataFrame:
+    """log written as segments and read from their bytes again, without files."""
+    out = segments(log, records_a_segment).select(F.col("name").alias("path"), "content")
+    return out.mapInArrow(_decoded(0), SCHEMA).where("error is null").drop("path", "error")
 
 
 def checked(ops: DataFrame) -> DataFrame:
@@ -198,6 +234,65 @@ def checked(ops: DataFrame) -> DataFrame:
     return good.drop("error", "path")
 
 
+def _value(column: str) -> tuple[Column, Column]:
+    """pba and salt of a value of 28 bytes in hex. salt stands for the 20 bytes after the address: the last 8 of them where the others are zero, else their xxhash64, so other bytes are another salt but for a chance of 2^-64."""
+    pba = F.conv(F.substring(column, 1, 16), 16, 10).cast("decimal(20,0)").cast("long")
+    rest, low = F.substring(column, 17, 40), F.substring(column, 41, 16)
+    plain = rest.startswith("0" * 24) & (F.substring(column, 41, 1) < "8")
+    return pba, F.when(plain, F.conv(low, 16, 10).cast("long")).otherwise(F.xxhash64(rest))
+
+
+def pack(pba: Column, salt: Column) -> Column:
+    """The value of 28 bytes in hex that _value takes apart again, of numbers below 2^63."""
+    return F.lower(F.concat(F.lpad(F.hex(pba), 16, "0"), F.lit("0" * 24), F.lpad(F.hex(salt), 16, "0")))
+
+
+def to_log(ops: DataFrame) -> DataFrame:
+    """Operations read from segments as OP_LOG, applied in order. A range delete becomes a delete of each captured block; operations of a record are numbered anew, as those need places. Volumes' and snapshots' lives are not map operations: volumes_of, and DropSnapshot rows."""
+    captured = F.when(F.col("op") == "L2pRangeDelete", F.col("captured"))
+    rows = ops.where(~F.col("op").isin("CreateVolume", "DropVolume", "CloneVolume")).select("*", F.posexplode_outer(captured).alias("place", "block"))
+    rows = rows.where("op <> 'L2pRangeDelete' or block is not null")
+    ranged = F.col("op") == "L2pRangeDelete"
+    pba, salt = _value("value")
+    order = Window.partitionBy("lsn").orderBy("op_seq", "place")
+    names = {
+        "op_seq": F.row_number().over(order) - 1,
+        "op": F.when(ranged, "L2pDelete").otherwise(F.col("op")),
+        "lba": F.when(ranged, F.col("block.lba")).otherwise(F.col("lba")),
+        "pba": F.when(F.col("value").isNotNull(), pba).otherwise(F.col("pba").cast("long")),
+        "salt": F.when(F.col("value").isNotNull(), salt),
+        "range_end": F.lit(None),
+    }
+    return rows.select(*(names.get(f.name, F.col(f.name)).cast(f.dataType).alias(f.name) for f in OP_LOG.fields))
+
+
+def volumes_of(ops: DataFrame, created: dict[int, int], base: list[Row]) -> list[Row]:
+    """The catalog's volumes after the log's volume records, few as volumes are. created: lsns of snapshots, which clones need."""
+    out = {v.ord: v for v in base}
+    for r in ops.where(F.col("op").isin("CreateVolume", "DropVolume", "CloneVolume")).select("lsn", "op_seq", "op", "vol_ord", "src_ord", "snap_id").orderBy("lsn", "op_seq").collect():
+        ord_ = int(r.vol_ord)
+        if r.op == "DropVolume":
+            out[ord_] = Row(**out[ord_].asDict() | {"dropped_lsn": r.lsn})
+        elif r.op == "CreateVolume":
+            out[ord_] = Row(ord=ord_, src_ord=None, src_lsn=None, created_lsn=r.lsn, dropped_lsn=None)
+        else:
+            if int(r.snap_id) not in created:
+                raise Corruption(f"record {r.lsn}: clone of unknown snapshot {r.snap_id}")
+            out[ord_] = Row(ord=ord_, src_ord=int(r.src_ord), src_lsn=created[int(r.snap_id)], created_lsn=r.lsn, dropped_lsn=None)
+    return [out[k] for k in sorted(out)]
+
+
+def prune(spark: SparkSession, path: str, checkpoint: int) -> list[str]:
+    """Deletes segments that hold nothing past the checkpoint, and returns their names. The newest one stays. A segment ends before the first lsn of the next, which its name gives."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files = sorted((f.getPath() for f in fs.listStatus(root) if f.getPath().getName().startswith("wal-")), key=lambda p: p.getName())
+    gone = [p for p, after in zip(files, files[1:]) if int(after.getName()[4:24]) - 1 <= checkpoint]
+    for p in gone:
+        fs.delete(p, False)
+    return [p.getName() for p in gone]
+
+
 def segments(log: DataFrame, records_a_segment: int = 4096) -> DataFrame:
     """name, content of segments that hold log (columns of SCHEMA, lsn and op_seq set): for export by any writer of files. Dealt by ranges of lsn, one segment at a time in memory."""
     rows = log.withColumn("_segment", F.expr(f"lsn div {records_a_segment}"))

@@ -27,7 +27,7 @@ def gone(lba, vol=0):
 
 
 def snaps_of(spark, *rows):
-    return spark.createDataFrame(list(rows), SNAPSHOTS)
+    return spark.createDataFrame([(*r, None)[:4] for r in rows], SNAPSHOTS)
 
 
 def rcs(df):
@@ -108,6 +108,68 @@ def test_random_logs_against_the_fold(spark, seed):
     assert all(audit_rows[p] == (f.rc.get(p, 0), n) for p, n in want.items())
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_counts_under_snapshots_clones_and_drops(spark, seed):
+    """At every lsn the sums of changes are the closed form, by a fold that counts distinct tuples anew after each step."""
+    rng, rows, snaps, volumes, maps, freed_at = random.Random(seed), [], {}, {k: (k, None, None, 0, None) for k in range(2)}, {}, []
+
+    def counts():
+        tuples = {(v, lba, x) for (v, lba), x in maps.items() if volumes[v][4] is None}
+        tuples |= {(s["vol"], lba, x) for s in snaps.values() if s["dropped"] is None for lba, x in s["map"].items()}
+        out = {}
+        for _, _, (p, _) in tuples:
+            out[p] = out.get(p, 0) + 1
+        return out
+
+    before, lsn = {}, 0
+    while lsn < 160:
+        live = [v for v in volumes if volumes[v][4] is None]
+        kind, vol = rng.random(), rng.choice(live)
+        if kind < 0.06:
+            snaps[len(snaps) + 1] = {"vol": vol, "at": lsn, "dropped": None, "map": {lba: x for (v, lba), x in maps.items() if v == vol}}
+        elif kind < 0.09 and snaps and len(volumes) < 6:
+            s = rng.choice([*snaps.values()])
+            if s["dropped"] is None:
+                new = len(volumes)
+                volumes[new] = (new, s["vol"], s["at"], lsn, None)
+                maps.update({(new, lba): x for lba, x in s["map"].items()})
+        elif kind < 0.12 and [s for s in snaps.values() if s["dropped"] is None]:
+            lsn += 1
+            rng.choice([s for s in snaps.values() if s["dropped"] is None])["dropped"] = lsn
+        elif kind < 0.14 and vol > 0 and not any(s["vol"] == vol and s["dropped"] is None for s in snaps.values()):
+            volumes[vol] = (*volumes[vol][:4], lsn)
+            for key in [k for k in maps if k[0] == vol]:
+                del maps[key]
+        else:
+            lsn += 1
+            op = random_ops(rng.random(), 1, 1)[0]
+            rows.append((lsn, 0, op[0], vol, *op[2:]))
+            if op[0] == "L2pDelete":
+                maps.pop((vol, op[2]), None)
+            else:
+                maps[vol, op[2]] = op[3:]
+        after = counts()
+        freed_at += [(lsn, p) for p in before if p not in after]
+        before = after
+    log = state.with_inherited(spark.createDataFrame(rows, LOG), spark.createDataFrame([*volumes.values()], VOLUMES))
+    history = spark.createDataFrame([(k, s["vol"], s["at"], s["dropped"]) for k, s in snaps.items()], SNAPSHOTS)
+    assert rcs(refcount.current(log, history)) == before == rcs(refcount.closed_form(log, history))
+    assert sorted((r.lsn, r.pba) for r in refcount.freed(log, history).collect()) == sorted(freed_at)
+    assert all(r.stored_rc == r.audit_rc for r in refcount.audit_stored(log, history).collect())
+    assert refcount.underflows(log, history).count() == 0
+    assert {(r.vol_ord, r.lba): (r.pba, r.salt) for r in state.l2p_at(log).collect()} == maps
+
+
+def test_previous_values_across_buckets(spark):
+    rng = random.Random(2)
+    rows = [(k, rng.randrange(3), rng.randrange(9)) for k in range(150)]
+    got = {r.lsn: r.prev_v for r in running.previous(spark.createDataFrame(rows, "lsn long, key int, v int"), ["key"], ["lsn"], ["v"], bucket=7).collect()}
+    last = {}
+    for lsn, key, v in rows:
+        assert got[lsn] == last.get(key)
+        last[key] = v
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_guards_against_the_fold(spark, seed):
     rng, f, rows, want = random.Random(seed), Fold(), [], {}
@@ -137,10 +199,10 @@ def test_explicit_changes_and_underflow(spark):
 
 def test_range_delete(spark):
     log = log_of(spark, [put(k, 100) for k in range(10, 14)] + [put(20, 7)])
-    plan = remap.range_delete_plan(log, 0, 10, 12)
+    plan = remap.range_delete_plan(state.l2p_at(log), 10, 12)
     assert sorted(r.lba for r in plan.collect()) == [10, 11]
     none = state.l2p_at_snapshots(log, snaps_of(spark))
-    whole = remap.range_delete_plan(log, 0, 0, 15)
+    whole = remap.range_delete_plan(state.l2p_at(log), 0, 15)
     assert [(r.pba, r.decrefs, r.rc_after) for r in remap.range_delete_freed(log, none, whole, 0).collect()] == [(100, 4, 0)]
     pinned = state.l2p_at_snapshots(log, snaps_of(spark, (1, 0, 5)))
     assert remap.range_delete_freed(log, pinned, whole, 0).count() == 0
@@ -257,16 +319,31 @@ def test_rates_hints_and_samples(spark, tmp_path):
 
 
 def test_reports_and_json(spark, tmp_path):
-    samples = spark.createDataFrame([(0, 0, 0, 0, 0, 0, 0), (4000, 40, 8, 800, 2, 20, 400)], "ts_ms long, last_applied_lsn long, commit_success long, commit_us long, wal_batches long, wal_records long, wal_us long")
+    samples = spark.createDataFrame([(0, 0, 0, 0, 0, 0, 0), (4000, 40, 8, 800, 2, 20, 400)], "ts_ms long, last_applied_lsn long, commit_success long, commit_total_us long, wal_batches long, wal_records long, commit_wal_submit_us long")
     r = metrics.report(samples, 5).first()
     assert (r.lsn_per_s, r.commits_per_s, r.wal_batch, r.commit_us, r.wal_share) == (10.0, 2.0, 10.0, 100.0, 50.0)
-    assert metrics.hints(metrics.report(samples, 5)).first().hints == ["wal is a large share of commit time"]
+    assert metrics.hints(metrics.report(samples, 5)).first().hints == ["wal is a large share of commit time", "applying is cheap"]
     assert metrics.report(samples.select("ts_ms"), 5).first().commits == 0
     t = metrics.throughput(spark.createDataFrame([("get", 10, 40, 2000), ("none", 1, 1, 0)], "scenario string, ops long, items long, ms long")).collect()
     assert [(x.ops_per_s, x.items_per_s) for x in t] == [(5.0, 20.0), (0.0, 0.0)]
     assert metrics.as_json(spark.createDataFrame([(1, bytearray(b"\x0a\xff"))], "a int, b binary")).first().json == '{"a":1,"b":"0aff"}'
     metrics.write_samples(samples, str(tmp_path / "s"))
-    assert metrics.read_samples(spark, str(tmp_path / "s"), "ts_ms long, wal_us long").count() == 2
+    assert metrics.read_samples(spark, str(tmp_path / "s"), "ts_ms long, commit_wal_submit_us long").count() == 2
+
+
+def test_order_and_maintenance(spark):
+    rows = spark.createDataFrame([(1, h, i) for i, h in enumerate("abcbdd")] + [(2, "x", 0)], "layer int, hash string, pos long")
+    assert {r.layer: (r.records, r.faults) for r in dedup.order_report(rows).collect()} == {1: (6, 2), 2: (1, 0)}
+    files = [(0, 1, "a", "DedupDelete", 1, 9), (0, 1, "m", "DedupPut", 2, 8), (1, 2, "a", "DedupPut", 3, 5), (1, 3, "z", "DedupPut", 4, 5), (2, 4, "a", "DedupPut", 5, 1)]
+    layers = spark.createDataFrame(files, "level int, run int, hash string, op string, pba long, lsn long")
+    runs = layers.groupBy("level", "run").agg(F.min("hash").alias("min_hash"), F.max("hash").alias("max_hash"), F.count("*").alias("records"))
+    merged, own, below = dedup.maintain(layers, runs, l0_trigger=1)
+    assert (own, below) == ([1], [2]) and {(r.level, r.hash, r.op) for r in merged.collect()} == {(1, "a", "DedupDelete"), (1, "m", "DedupPut")}  # level 2 still holds a
+    merged, _, _ = dedup.maintain(layers.where("level < 2"), runs.where("level < 2"), l0_trigger=1)
+    assert [r.hash for r in merged.collect()] == ["m"] and dedup.maintain(layers, runs.where("level > 0")) is None
+    asked = spark.createDataFrame([(0, "a"), (1, "q"), (2, "a")], "pos int, prefix string")
+    found = dedup.scan_prefixes(spark.createDataFrame([(1, "ab", "DedupPut", 1), (1, "ac", "DedupPut", 2), (2, "ab", "DedupDelete", 1)], "layer int, hash string, op string, pba long"), asked)
+    assert sorted((r.pos, r.hash) for r in found.where("hash is not null").collect()) == [(0, "ac"), (2, "ac")] and found.where("hash is null").count() == 1
 
 
 def test_log_checks(spark):

@@ -3,10 +3,7 @@ from ledgerlake.plans.queries import ORACLE_SQL, QUERIES
 
 from tests.oracle import compare
 
-NO_ROWS = {"lsm_order_check", "edge_count_check", "model_equality"}
-
 
 @pytest.mark.parametrize("name", ORACLE_SQL)
 def test_query_equals_sql(spark, name):
-    n = compare(spark, QUERIES[name], ORACLE_SQL[name])
-    assert (n == 0) == (name in NO_ROWS)
+    assert compare(spark, QUERIES[name], ORACLE_SQL[name]) > 0
