@@ -5,7 +5,7 @@ import random
 import pytest
 from ledgerlake.functions import codec, running
 from ledgerlake.operators import audit, dedup, refcount, remap, snapshot, state
-from ledgerlake.plans import metrics
+from ledgerlake.plans import metrics, work
 from ledgerlake.sources.schema import SNAPSHOTS, VOLUMES
 from pyspark.sql import functions as F
 
@@ -346,6 +346,24 @@ def test_order_and_maintenance(spark):
     assert sorted((r.pos, r.hash) for r in found.where("hash is not null").collect()) == [(0, "ac"), (2, "ac")] and found.where("hash is null").count() == 1
 
 
+def test_a_cluster_needs_a_shared_folder(spark):
+    from types import SimpleNamespace
+
+    class Conf(dict):
+        def get(self, key, default=None):
+            return dict.get(self, key, default)
+
+    def session(master, **conf):
+        return SimpleNamespace(conf=Conf(), sparkContext=SimpleNamespace(getConf=lambda: Conf(conf), master=master, applicationId="x"))
+
+    with pytest.raises(RuntimeError):
+        work.shared_root(session("spark://host:7077"))
+    with pytest.raises(RuntimeError):
+        work.shared_root(session("local-cluster[2,1,1024]"))
+    assert work.shared_root(session("yarn", **{"spark.checkpoint.dir": "hdfs://x/y/"})) == "hdfs://x/y"
+    assert work.shared_root(spark)
+
+
 def test_log_checks(spark):
     arrivals = spark.createDataFrame(list(enumerate([1, 2, 3, 3, 5, 4, 6])), "arrived long, lsn long")
     assert [r.arrived for r in audit.order_report(arrivals, bucket=2).orderBy("arrived").collect()] == [3, 5]
