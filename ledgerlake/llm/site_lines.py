@@ -8,6 +8,8 @@ more than ratio of the pages, so there are at most (mean lines of a page) / rati
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,13 +21,44 @@ BREAKS = r"(?i)</?(p|div|li|ul|ol|br|h[1-6]|title|head|body|article|section|nav|
 TAG = r"<[^>]*>"
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#@]*@)?([^/?#:@]+)"
 
+#: What hides the rest up to its end mark; by themselves, and the last end mark of each. A beginning behind the last end is no hidden part, and Java would search the whole rest of the page from each of them.
+ENDS = ((r"<(!--)", r"(?s)\A(.*-->)"), (r"(?i)<(script)", r"(?is)\A(.*</script>)"), (r"(?i)<(style)", r"(?is)\A(.*</style>)"))
+SHIELD = "\ue000"
+
 BROADCAST_BYTES = 32 << 20
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value made once however often use names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _shielded(html: Column, begins: str, ends: str) -> Column:
+    def cut(x: Column) -> Column:
+        return _let(F.length(F.regexp_extract(x, ends, 1)), lambda n: F.concat(F.substring(x, F.lit(1), n), F.regexp_replace(F.substring(x, n + 1, F.length(x)), begins, f"<{SHIELD}$1")))
+
+    return _let(html, lambda x: F.when(x.rlike(begins), cut(x)).otherwise(x))
+
+
+def _shown(html: Column) -> Column:
+    """html without hidden parts, in linear time: beginnings without an end are shielded, so that each one searched from finds its end, and shown again after."""
+    for begins, ends in ENDS:
+        html = _shielded(html, begins, ends)
+    return F.replace(F.regexp_replace(html, HIDDEN, " "), F.lit(f"<{SHIELD}"), F.lit("<"))
+
+
+def _untagged(text: Column) -> Column:
+    """text without tags, and with line breaks for those that end a line. Behind the last > no tag ends, and none is searched for."""
+
+    def cut(x: Column, n: Column) -> Column:
+        return F.concat(F.regexp_replace(F.regexp_replace(F.substring(x, F.lit(1), n), BREAKS, "\n"), TAG, ""), F.substring(x, n + 1, F.length(x)))
+
+    return _let(text, lambda x: _let(F.length(F.regexp_extract(x, r"(?s)\A(.*>)", 1)), lambda n: cut(x, n)))
+
+
 def page_lines(html: Column) -> Column:
-    """The trimmed lines of a page that are not empty, in order; none for null."""
-    text = F.regexp_replace(F.coalesce(html, F.lit("")), HIDDEN, " ")
-    text = F.regexp_replace(F.regexp_replace(text, BREAKS, "\n"), TAG, "")
+    """The trimmed lines of a page that are not empty, in order; none for null. A comment, script or style that does not end hides nothing. U+E000 right after a < is dropped. Time is linear in the page."""
+    text = _untagged(_shown(F.replace(F.coalesce(html, F.lit("")), F.lit(f"<{SHIELD}"), F.lit("<"))))
     return F.filter(F.transform(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(" \t\r\u00a0"))), lambda x: x != "")
 
 
@@ -34,7 +67,7 @@ def drop_site_lines(pages: DataFrame, ratio_percent: int = 20, least_pages: int
 
     A line goes if 100 * pages of the host that hold it > ratio_percent * pages of the host, and
     at least least_pages hold it. A page counts once for a line it repeats, and all its
-    repeats go. A page whose url is null or names no host belongs to no site and stays whole. Null
+    repeats go. A line at exactly the ratio stays. A page whose url is null or names no host belongs to no site and stays whole. Null
     html has no lines. Repeated rows are pages of their own. Other columns are not read.
     """
     host = F.lower(F.nullif(F.regexp_extract("url", HOST, 2), F.lit("")))
@@ -60,7 +93,7 @@ def op9_site_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP9_SQL = f"""
 WITH l AS (
   SELECT row_number() OVER () AS page, page_id, lower(nullif(regexp_extract(coalesce(url, ''), '{HOST}', 2), '')) AS host,
-         list_filter(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '{HIDDEN}', ' ', 'g'), '{BREAKS}', chr(10), 'g'), '{TAG}', '', 'g'), chr(10)), lambda x: trim(x, chr(32) || chr(9) || chr(13) || chr(160))), lambda x: x <> '') AS lines
+         list_filter(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(replace(coalesce(html, ''), '<{SHIELD}', '<'), '{HIDDEN}', ' ', 'g'), '{BREAKS}', chr(10), 'g'), '{TAG}', '', 'g'), chr(10)), lambda x: trim(x, chr(32) || chr(9) || chr(13) || chr(160))), lambda x: x <> '') AS lines
   FROM pages),
 sized AS (SELECT host, count(*) AS pages FROM l WHERE host IS NOT NULL GROUP BY host),
 held AS (SELECT host, line, count(*) AS holding FROM (SELECT host, unnest(list_distinct(lines)) AS line FROM l WHERE host IS NOT NULL) GROUP BY ALL),

@@ -21,6 +21,20 @@ def test_lines_above_the_ratio_go(spark):
     assert site_lines.drop_site_lines(pages(spark, rows)).count() == len(rows)
 
 
+def test_beginnings_without_an_end_hide_nothing_and_cost_no_search(spark):
+    k = 40_000
+    rows = [(i, "http://h.example", b * k) for i, b in enumerate(("<!--", "<script ", "<STYLE", "<!--<script<style"))]
+    rows += [(10, "http://h.example", "a<!-- b --> c <!-- d"), (11, "http://h.example", "a<script>b</SCRIPT>c<script>d"), (12, "http://h.example", "<style>a</style><!-- </style>b"), (13, "http://h.example", "x</script>y<!--z-->w<!--"), (14, "http://h.example", "a <\ue000b")]
+    got = {r.page_id: r for r in site_lines.drop_site_lines(pages(spark, rows)).collect()}
+    assert [got[i].text for i in (10, 11, 12, 13, 14)] == ["a  c <!-- d", "a cd", "b", "xy w<!--", "a <b"]
+
+
+def test_a_line_at_exactly_the_ratio_stays(spark):
+    rows = [(i, "http://h.example", f"<p>own {i}</p>" + "<p>a</p>" * (i < 4) + "<p>b</p>" * (i < 5)) for i in range(20)]
+    got = {r.page_id: r.text for r in site_lines.drop_site_lines(pages(spark, rows)).collect()}
+    assert got[0] == "own 0\na" and got[4] == "own 4"
+
+
 def test_same_rows_without_broadcast(spark, monkeypatch):
     rows = [(i, f"http://h{i % 3}.example/{i}", f"<p>menu {i % 3}</p><p>own {i}</p>") for i in range(60)]
     want = sorted(map(tuple, site_lines.drop_site_lines(pages(spark, rows)).collect()))
