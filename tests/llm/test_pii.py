@@ -34,6 +34,34 @@ def test_base_spans_take_linear_time():
         pii.base_spans(text)
 
 
+def test_nodes_take_linear_time():
+    """1 MB runs of what could be searched again from each of its characters."""
+    n = 1 << 20
+    for text in ("x" * n + " a@b", "(" * n + " 1", "+" * n, "1(" * (n // 2), "1" + "(" * n, "@" * n, "1 " * (n // 2), "x@" * (n // 2), "+1 202 555 1234 " * (n // 16)):
+        pii.nodes(text, pii.base_spans(text))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.sampled_from("ab@@ ,.(\n1"), max_size=40))
+def test_words_with_at_equal_the_plain_pattern(text):
+    assert pii._words_with_at(text) == [m.span() for m in re.finditer(r"[^\s@,;:<>()\"'|]+@[^\s,;:<>()\"'|]*", text)]
+
+
+def test_lists_of_numbers_are_taken_one_by_one():
+    text = "call 555-123-4567 555-987-6543 555-111-2222 now"
+    assert [text[n.start : n.end] for n in pii.nodes(text, pii.base_spans(text))] == ["555-123-4567", "555-987-6543", "555-111-2222"]
+    text = "at 10.1.2.3 555-123-4567 or +1 202 555 1234, 202 555 9876"
+    assert [(text[n.start : n.end], n.base) for n in pii.nodes(text, pii.base_spans(text))] == [("10.1.2.3", True), ("555-123-4567", False), ("+1 202 555 1234", True), ("202 555 9876", False)]
+
+
+def test_a_long_document_takes_part_in_the_fit_with_all_of_its_length(spark):
+    """Nodes are drawn from the whole document: what stands at its end only is seen too."""
+    docs = spark.createDataFrame([(1, "order 123 456 7890 " * 3000 + "mail a@b.example.com " * 3000, "x", 1)], SCHEMA)
+    field = pii.fit(docs)
+    alone = pii.Node(0, 18, 0, False, "q@c.example.com")
+    assert field.weights[pii.features("mail q@c.example.com", alone)].sum(0).argmax() == 1
+
+
 def brute_marginals(unary, chain, skip, c, s):
     n, labels = unary.shape
     p = np.zeros((n, labels))
