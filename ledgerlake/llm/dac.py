@@ -37,7 +37,7 @@ WIDTHS = ((8, 8), (4, 4, 8), (4, 4, 4, 4), (16,), (8, 8, 8, 8), (16, 16))
 RANK_EVERY = 512
 
 SHARD_TOKENS = 1 << 20
-MOST_CACHED = 1_200_000
+MOST_CACHED, LONGEST_CACHED = 1_200_000, 64  # chunks, and characters of one: so the cache is bounded in bytes, whatever the script
 SHARDS = "part int, seq int, n_docs long, n_tokens long, image binary"
 ROWS = "part int, seq int, doc_id long, local_start long, n_tokens long, ids_crc32 long"
 
@@ -172,6 +172,7 @@ class _Encoder:
         self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.known: dict[str, bytes] = {"": b""}
         self.derived: list[str] = []
+        self.passing: list[str] = []
 
     def _encode(self, new: set[str]) -> None:
         plain, other = [], []
@@ -211,6 +212,7 @@ class _Encoder:
         for x, (core, tail) in parts.items():
             known[x] = known[core] + known[tail]
         self.derived += parts
+        self.passing += [x for x in need | parts.keys() if len(x) > LONGEST_CACHED]
 
     def ids(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, end_id after each, and how many each has."""
@@ -223,9 +225,12 @@ class _Encoder:
             if None in own:
                 self._learn([x for x, ids in zip(chunks, own) if ids is None])
                 own = list(map(self.known.__getitem__, chunks))
+                for x in self.passing:
+                    self.known.pop(x, None)
+                self.passing = []
             if len(self.known) > MOST_CACHED:
                 for x in self.derived:
-                    del self.known[x]
+                    self.known.pop(x, None)
                 self.derived = []
                 if len(self.known) > MOST_CACHED * 3 // 4:
                     self.known = {"": b""}
