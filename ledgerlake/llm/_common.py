@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,42 +11,24 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_FALLBACK: dict[str, str] = {}
-
+from ..plans import work
+from ..plans.work import shared_path
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor sees: spark.checkpoint.dir, or where it is unset a local one (tests)."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _FALLBACK:
-        _FALLBACK[app] = tempfile.mkdtemp(prefix="ledgerlake-")
-    return _FALLBACK[app]
-
-
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder; it goes when the application ends."""
     bound_batches(spark)
-    path = f"{shared_dir(spark)}/ledgerlake-{uuid.uuid4().hex}/{name}"
-    jvm = spark.sparkContext._jvm
-    parent = jvm.org.apache.hadoop.fs.Path(path.rpartition("/")[0])
-    fs = parent.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.mkdirs(parent)
-    fs.deleteOnExit(parent)
-    return path
+    return shared_path(spark, name)
 
 
 def staged(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """df written once and read back: what follows neither repeats its work nor depends on the executors that did it."""
-    path = fresh_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    bound_batches(spark)
+    return work.staged(spark, df, name)
 
 
 def text_or_empty(name: str = "text") -> Column:

@@ -202,12 +202,12 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
-    """docs, all columns, without the rows that the model rejects."""
+    """docs, all columns, without the rows that the model rejects. Null, empty and letterless texts are rejected or not as predict has it for them; repeated rows go or stay alike; texts of any type are read as strings, and as long as they are."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text = batch["text"]
+            text = batch["text"].cast(pa.string())
             for lo, hi in slices(text, 1 << 20, 256):
                 yield batch.slice(lo, hi - lo).filter(pa.array(~shared.value.predict(text[lo:hi])[2]))
 

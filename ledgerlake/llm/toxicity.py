@@ -155,7 +155,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Machine
 
 
 def score(docs: DataFrame, machine: Machine) -> DataFrame:
-    """doc_id, score and predicted of each row; null and empty texts have the bias alone."""
+    """doc_id, score and predicted of each row; null and empty texts have the bias alone. Texts of any length are read whole; rows that repeat a doc_id, or a text, are scored each by its own text. Other columns are not read."""
     shared = docs.sparkSession.sparkContext.broadcast(machine)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
