@@ -180,15 +180,15 @@ def _divided(frame: DataFrame, *by: str) -> DataFrame:
 
 
 def _held_by(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """star, item, n: how many sets of a batch hold a shingle, by star."""
+    """star, size, item, n: how many sets of a batch hold a shingle, by star."""
     for batch in batches:
         sets = [np.frombuffer(x.as_buffer(), np.int64) for x in batch["set"]]
-        stars = np.repeat(batch["star"].to_numpy(), [len(s) for s in sets])
+        stars, sizes = (np.repeat(batch[c].to_numpy(), [len(s) for s in sets]) for c in ("star", "size"))
         items = np.concatenate([*sets, np.zeros(0, np.int64)])
         order = np.lexsort((items, stars))
-        stars, items = stars[order], items[order]
+        stars, sizes, items = stars[order], sizes[order], items[order]
         first = np.flatnonzero(np.concatenate(([True], (stars[1:] != stars[:-1]) | (items[1:] != items[:-1])))) if len(items) else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(stars[first]), pa.array(items[first]), pa.array(np.diff(np.append(first, len(items))))], ["star", "item", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(stars[first]), pa.array(sizes[first]), pa.array(items[first]), pa.array(np.diff(np.append(first, len(items))))], ["star", "size", "item", "n"])
 
 
 def _against_usual(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,7 +213,7 @@ def _level(column: str) -> Column:
 
 
 def _lists(held: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Where two members of a star can be similar. held: star, cid, component, of stars with several components; sets: cid, set.
+    """Where two members of a star can be similar. held: star, size (its members), cid, component, of stars with several components; sets: cid, set.
 
     Take U, the shingles that over half of the star's members hold. A member lacks some of U and holds unusual ones
     beside it; with lacks and more the sums of both numbers over a pair, and o the number of differences that the
@@ -228,15 +228,15 @@ def _lists(held: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, D
     """
     spark, slack = held.sparkSession, 100 - percent
     members = held.join(sets, "cid")
-    counts = staged(spark, members.select("star", "set").mapInArrow(thrifty(_held_by), "star long, item long, n long").groupBy("star", "item").agg(F.sum("n").alias("n")), "counts")
-    sizes = held.groupBy("star").agg(F.count(F.lit(1)).alias("size"))
-    marked = counts.where("n > 1").join(sizes, "star")
-    usual = marked.where("2 * n > size").groupBy("star").agg(F.first("size").alias("size"), F.sort_array(F.collect_list(F.struct("item", "n"))).alias("u"))
-    usual = sizes.join(usual.drop("size"), "star", "left").select("star", "size", F.coalesce(F.col("u.item"), F.array().cast("array<long>")).alias("usual"), F.coalesce(F.col("u.n"), F.array().cast("array<long>")).alias("holders"))
+    counts = members.select("star", "size", "set").mapInArrow(thrifty(_held_by), "star long, size long, item long, n long")
+    counts = staged(spark, counts.groupBy("star", "item").agg(F.first("size").alias("size"), F.sum("n").alias("n")).where("n > 1"), "counts")
+    empty = F.array().cast("array<long>")
+    usual = counts.where("2 * n > size").groupBy("star").agg(F.sort_array(F.collect_list(F.struct("item", "n"))).alias("u"))
+    usual = members.join(usual, "star", "left").select("star", "cid", "component", "set", "size", F.coalesce("u.item", empty).alias("usual"), F.coalesce("u.n", empty).alias("holders"))
     schema = "star long, cid long, component long, lacks long, usual long, common array<long>, lackers array<long>, unusual array<long>"
-    against = staged(spark, members.join(usual, "star").select("star", "cid", "component", "set", "usual", "holders", "size").mapInArrow(thrifty(_against_usual), schema), "against")
+    against = staged(spark, usual.mapInArrow(thrifty(_against_usual), schema), "against")
 
-    shared = against.select("star", "cid", F.explode("unusual").alias("item")).join(marked.where("2 * n <= size").select("star", "item", "n"), ["star", "item"])
+    shared = against.select("star", "cid", F.explode("unusual").alias("item")).join(counts.where("2 * n <= size").select("star", "item", "n"), ["star", "item"])
     shared = shared.groupBy("star", "cid").agg(F.sort_array(F.collect_list(F.struct("n", "item"))).alias("more"))
     none = F.array().cast("array<struct<n:long,item:long>>")
     own = against.join(shared, ["star", "cid"], "left").select(
@@ -343,7 +343,7 @@ def _beyond_stars(members: DataFrame, links: DataFrame, classes: DataFrame, docs
     """links and those between members (star, cid) of one star that are in different components so far."""
     spark = docs.sparkSession
     held = _placed(members, components(links), "cid", "component")
-    held = staged(spark, held.join(_divided(held, "star").select("star"), "star", "left_semi"), "held")
+    held = staged(spark, held.join(_divided(held, "star").select("star", "size"), "star"), "held")
     if held.isEmpty():
         return links
     sets = _sets(held.select("cid"), docs)
