@@ -56,10 +56,21 @@ def _untagged(text: Column) -> Column:
     return _let(text, lambda x: _let(F.length(F.regexp_extract(x, r"(?s)\A(.*>)", 1)), lambda n: cut(x, n)))
 
 
-def page_lines(html: Column) -> Column:
-    """The trimmed lines of a page that are not empty, in order; none for null. A comment, script or style that does not end hides nothing. U+E000 right after a < is dropped. Time is linear in the page."""
-    text = _untagged(_shown(F.replace(F.coalesce(html, F.lit("")), F.lit(f"<{SHIELD}"), F.lit("<"))))
-    return F.filter(F.transform(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(" \t\r\u00a0"))), lambda x: x != "")
+def _begins_after(text: Column, begins: str, ends: str) -> Column:
+    """Whether begins stands behind the last ends."""
+    return F.contains(F.substring_index(text, ends, -1), F.lit(begins))
+
+
+def page_lines(pages: DataFrame) -> DataFrame:
+    """pages, html in place of which lines stand: the trimmed lines that are not empty, in order; none for null. A comment, script or style that does not end hides nothing. U+E000 right after a < is dropped. Time is linear in the page; what that takes is done only where something has no end."""
+    kept = [c for c in pages.columns if c != "html"]
+    html, text = F.col("html"), F.col("text")
+    rows = pages.select(*kept, F.replace(F.coalesce(html, F.lit("")), F.lit(f"<{SHIELD}"), F.lit("<")).alias("html"), F.lower("html").alias("low"))
+    endless = _begins_after(html, "<!--", "-->") | _begins_after(F.col("low"), "<script", "</script>") | _begins_after(F.col("low"), "<style", "</style>")
+    rows = rows.select(*kept, F.when(endless, _shown(html)).otherwise(F.regexp_replace(html, HIDDEN, " ")).alias("text"))
+    plain = F.regexp_replace(F.regexp_replace(text, BREAKS, "\n"), TAG, "")
+    rows = rows.select(*kept, F.when(_begins_after(text, "<", ">"), _untagged(text)).otherwise(plain).alias("text"))
+    return rows.select(*kept, F.filter(F.transform(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(" \t\r\u00a0"))), lambda x: x != "").alias("lines"))
 
 
 def drop_site_lines(pages: DataFrame, ratio_percent: int = 20, least_pages: int = 3) -> DataFrame:
@@ -71,7 +82,7 @@ def drop_site_lines(pages: DataFrame, ratio_percent: int = 20, least_pages: int
     html has no lines. Repeated rows are pages of their own. Other columns are not read.
     """
     host = F.lower(F.nullif(F.regexp_extract("url", HOST, 2), F.lit("")))
-    lines = staged(pages.sparkSession, pages.select("page_id", host.alias("host"), page_lines(F.col("html")).alias("lines")), "lines")
+    lines = staged(pages.sparkSession, page_lines(pages.select("page_id", host.alias("host"), F.col("html").cast("string").alias("html"))), "lines")
     sized = lines.where("host is not null").groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     held = lines.where("host is not null").select("host", F.explode(F.array_distinct("lines")).alias("line"))
     held = held.groupBy("host", "line").agg(F.count(F.lit(1)).alias("holding")).where(F.col("holding") >= least_pages)
