@@ -22,7 +22,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of linked documents the smallest doc_id stays."""
+    """Of documents linked by a similarity of 0.8 or more the smallest doc_id stays."""
     return near_dups.keep_one(docs)
 
 
