@@ -15,7 +15,8 @@ a group still has several components, its members are described by their differe
 shingles. That tells exactly who can yet be similar to whom (_lists): a group of copies with an edit or two too many
 for links among them costs its size, not its square. Who is left is held against the member
 nearest to the usual, and that of each list of equal differences; only lists with several components
-even then are compared in blocks of bounded size, by signature, set size and full set, in place.
+even then are compared in blocks of bounded size, by signature, set size and full set, in place. There a member's
+set is written as its differences, as it stands in many lists and most of the set is the star's usual one.
 """
 
 from __future__ import annotations
@@ -212,6 +213,11 @@ def _level(column: str) -> Column:
     return F.when(x <= 16, x).otherwise(F.greatest(x, F.ceil(F.pow(F.lit(1.25), F.ceil(F.log(1.25, x))))))
 
 
+def _similar_by_differences(x: np.ndarray, y: np.ndarray, cost: int, usual: int, percent: int) -> bool:
+    """Whether two sets of one star reach percent, by their differences from its usual set; cost is the pair's (_lists)."""
+    return (100 + percent) * len(np.intersect1d(x, y, assume_unique=True)) + (100 - percent) * usual >= cost
+
+
 def _lists(held: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """Where two members of a star can be similar. held: star, size (its members), cid, component, of stars with several components; sets: cid, set.
 
@@ -223,7 +229,7 @@ def _lists(held: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, D
     have o differences in common, of those only that a third member might share; so
       - members that no profile of the star (how many such differences at least, cost at least) could satisfy link with nobody new and go;
       - of a member's differences, rarest in the star first, one of all but the last o - 1 is in such a pair.
-    Returns members (star, cid, component, cost) left, and lists (star, item, cid, component, cost): pairs that differ in
+    Returns members (star, cid, component, cost, usual: how many usual shingles, items: its differences that a third might share) left, and lists (star, item, cid, component, cost): pairs that differ in
     component and can be similar either have the least cost of the star or share a list.
     """
     spark, slack = held.sparkSession, 100 - percent
@@ -253,7 +259,7 @@ def _lists(held: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, D
     needed = F.greatest(F.lit(1), F.ceil((F.col("cost") + F.col("least") - slack * F.col("usual")) / (100 + percent)))
     reach = F.greatest(F.lit(0), F.col("x") + F.col("y") - needed + 1).cast("int")
     lists = own.select("star", "cid", "component", "cost", F.explode(F.slice(F.sort_array("items"), F.lit(1), reach)).alias("d"))
-    return own.select("star", "cid", "component", "cost"), staged(spark, lists.select("star", F.col("d.item").alias("item"), "cid", "component", "cost"), "lists")
+    return own.select("star", "cid", "component", "cost", "usual", F.col("items.item").alias("items")), staged(spark, lists.select("star", F.col("d.item").alias("item"), "cid", "component", "cost"), "lists")
 
 
 def _candidates(left: np.ndarray, component: np.ndarray, n: np.ndarray, sig: np.ndarray, percent: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -266,11 +272,16 @@ def _candidates(left: np.ndarray, component: np.ndarray, n: np.ndarray, sig: np.
             yield int(k), o[on]
 
 
+def _values(column: pa.Array) -> list:
+    """Python values of a column, but NumPy arrays of lists of numbers."""
+    return [x.values.to_numpy() for x in column] if pa.types.is_list(column.type) else column.to_pylist()
+
+
 def _each_block(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tuple]:
     """Key and rows of each block; rows of one block follow each other."""
     now, held = None, []
     for batch in batches:
-        for star, item, i, j, *rest in zip(*(batch[c].to_pylist() for c in ("star", "item", "i", "j", *columns))):
+        for star, item, i, j, *rest in zip(*(_values(batch[c]) for c in ("star", "item", "i", "j", *columns))):
             if (star, item, i, j) != now:
                 if now and any(r[1] for r in held):
                     yield now, list(zip(*held))
@@ -280,10 +291,10 @@ def _each_block(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterat
         yield now, list(zip(*held))
 
 
-def _in_blocks(opened: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links a, b between members of one list but different components. opened: star, item, cid, component, n_shingles, sig, main (its largest component), size, others (how many are outside that).
+def _in_blocks(opened: DataFrame, able: DataFrame, percent: int) -> DataFrame:
+    """Links a, b between members of one list but different components. opened: star, item, cid, component, n_shingles, sig, main (its largest component), size, others (how many are outside that); able: the members of _lists.
 
-    Members outside main are compared with all, in blocks of about BLOCK x BLOCK. A first pass, over signatures, finds which members of a block have anyone to be compared with; only their sets go to the
+    Members outside main are compared with all, in blocks of about BLOCK x BLOCK. A first pass, over signatures, finds which members of a block have anyone to be compared with; only their differences, which say as much as the full sets, go to the
     second, which confirms pairs in place and returns one link for each two components it joins.
     """
     m = opened.withColumn("minor", F.col("component") != F.col("main"))
@@ -311,8 +322,8 @@ def _in_blocks(opened: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*same, *own], ["star", "item", "i", "j", *names])
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, block in _each_block(batches, [*names, "set"]):
-            cid, sets = block[0], [np.frombuffer(x, np.uint64) for x in block[5]]
+        for _, block in _each_block(batches, [*names, "cost", "usual", "items"]):
+            cid, (cost, usual, items) = block[0], block[5:]
             up = {c: c for c in block[2]}
 
             def top(c: int) -> int:
@@ -324,7 +335,7 @@ def _in_blocks(opened: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             for k, others in _candidates(*arrays(block), percent):
                 for o in others.tolist():
                     x, y = top(block[2][k]), top(block[2][o])
-                    if x != y and _similar(sets[k], sets[o], percent):
+                    if x != y and _similar_by_differences(items[k], items[o], cost[k] + cost[o], usual[k], percent):
                         up[x] = y
                         a.append(cid[k])
                         b.append(cid[o])
@@ -336,7 +347,7 @@ def _in_blocks(opened: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     schema = "star long, item long, i long, j long, cid long, left boolean, component long, n_shingles long, sig binary"
     found = staged(opened.sparkSession, dealt(left.unionByName(right)).mapInArrow(thrifty(find), schema), "found")
-    return dealt(found.join(sets, "cid")).mapInArrow(thrifty(confirm), "a long, b long").distinct()
+    return dealt(found.join(able.select("star", "cid", "cost", "usual", "items"), ["star", "cid"])).mapInArrow(thrifty(confirm), "a long, b long").distinct()
 
 
 def _beyond_stars(members: DataFrame, links: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
@@ -350,6 +361,7 @@ def _beyond_stars(members: DataFrame, links: DataFrame, classes: DataFrame, docs
     able, lists = _lists(held, sets, percent)
 
     def to_least(frame: DataFrame, *by: str) -> DataFrame:
+        frame = frame.select(*by, "cid", "component", "cost")
         least = frame.groupBy(*by).agg(F.min(F.struct("cost", "cid", "component")).alias("z"))
         return frame.join(least, list(by)).where("component != z.component").select(F.least("cid", "z.cid").alias("a"), F.greatest("cid", "z.cid").alias("b"))
 
@@ -359,7 +371,7 @@ def _beyond_stars(members: DataFrame, links: DataFrame, classes: DataFrame, docs
     lists = staged(spark, lists.join(_divided(lists, "star", "item"), ["star", "item"]), "opened")
     if lists.isEmpty():
         return links
-    return links.union(_in_blocks(lists.join(classes.select("cid", "n_shingles", "sig"), "cid"), sets, percent))
+    return links.union(_in_blocks(lists.join(classes.select("cid", "n_shingles", "sig"), "cid"), able, percent))
 
 
 def near_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:

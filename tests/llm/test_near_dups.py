@@ -102,6 +102,39 @@ def test_large_bucket_in_blocks(spark, monkeypatch):
     check(spark, rows)
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_differences_say_as_much_as_sets(percent):
+    """Members of one star: similar by their differences from its usual set exactly where their sets are."""
+    rng, seen = np.random.default_rng(7), set()
+    usual = np.arange(100, 160)
+    for _ in range(3000):
+        lacks = [rng.choice(usual, rng.integers(0, 9), replace=False) for _ in "xy"]
+        more = [rng.choice(12, rng.integers(0, 9), replace=False) for _ in "xy"]
+        x, y = (np.sort(np.concatenate([np.setdiff1d(usual, a), b])).astype(np.uint64) for a, b in zip(lacks, more))
+        cost = sum(100 * len(a) + percent * len(b) for a, b in zip(lacks, more))
+        got = near_dups._similar_by_differences(*(np.concatenate(z).astype(np.int64) for z in zip(lacks, more)), cost, len(usual), percent)
+        assert got == near_dups._similar(x, y, percent)
+        seen.add(got)
+    assert seen == {True, False}
+
+
+def test_blocks_link_by_differences(spark, monkeypatch):
+    """Chains of copies that share their edits in part come to be compared in blocks, and get all their links."""
+    compared = []
+    monkeypatch.setattr(near_dups, "_in_blocks", lambda *args, f=near_dups._in_blocks: compared.append(1) or f(*args))
+    rng, rows = random.Random(11), []
+    base = words(rng, 150)
+    for chain in range(12):
+        copy = list(base)
+        for _ in range(12):
+            for _ in range(2):
+                copy[rng.randrange(len(copy))] = f"y{chain}_{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(copy)))
+    rng.shuffle(rows)
+    check(spark, rows)
+    assert compared
+
+
 def edited(rng, base, g, most):
     """g copies of a text, each with 1 to `most` words replaced."""
     for i in range(g):
