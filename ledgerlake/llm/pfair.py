@@ -13,39 +13,51 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import table
+from ._common import staged, table
 
 BLOCK_CHARS = 16_384
 SHARES = {"src0": 8, "src1": 4, "src2": 4, "src3": 2, "src4": 2}
 ROWS_A_BUCKET = 20_000
+BROADCAST_SLOTS = 1 << 18  # about 16 MB
+SALTS = 32
 
-# One period as a fold over its slots. State: blocks placed of each source, and what stands in each slot.
+# One period as a fold over its slots. Sources of one share have the same windows, so their blocks go round by round, each round in order of k:
+# the state is how many blocks of each share were placed, and a slot compares one block of each share. Slots are gathered in runs, so that appending one copies a run at most.
 PERIOD = """
-aggregate(sequence(0L, total - 1),
-  named_struct('placed', transform(shares, s -> 0L), 'slots', cast(array() as array<struct<deadline: bigint, k: int, nth: bigint>>)),
-  (state, t) -> named_struct(
-    'placed', transform(state.placed, (n, k) -> n + if(k = array_min(transform(state.placed, (m, j) ->
-        named_struct('deadline', if(m * total div shares[j].share <= t, ((m + 1) * total + shares[j].share - 1) div shares[j].share, 9 * total), 'k', j))).k, 1L, 0L)),
-    'slots', state.slots || transform(array(array_min(transform(state.placed, (m, j) ->
-        named_struct('deadline', if(m * total div shares[j].share <= t, ((m + 1) * total + shares[j].share - 1) div shares[j].share, 9 * total), 'k', j)))),
-        p -> named_struct('deadline', p.deadline, 'k', p.k, 'nth', state.placed[p.k]))),
-  state -> state.slots)
-"""
-
-
-def period(sources: DataFrame, shares: Mapping[str, int], default_share: int = 1) -> DataFrame:
-    """source, share, total, slot, nth, deadline: what stands in each of the Q slots of one period. It is one row's fold, of length Q = the sum of shares; the number of sources, and so Q, must be such that this fits (tens of thousands)."""
+transform(flatten(aggregate(sequence(0L, (total - 1) div RUN),
+  named_struct('placed', transform(classes, c -> 0L), 'runs', cast(array() as array<array<struct<deadline: bigint, k: int, nth: bigint>>>)),
+  (done, r) -> transform(array(aggregate(sequence(r * RUN, least(total, (r + 1) * RUN) - 1),
+      named_struct('placed', done.placed, 'slots', cast(array() as array<struct<deadline: bigint, k: int, nth: bigint>>)),
+      (state, t) -> transform(array(array_min(transform(state.placed, (n, j) -> named_struct(
+            'deadline', if((n div classes[j].size) * total div classes[j].share <= t, ((n div classes[j].size + 1) * total + classes[j].share - 1) div classes[j].share, 9 * total),
+            'k', classes[j].members[int(n % classes[j].size)], 'j', j, 'nth', n div classes[j].size)))),
+          p -> named_struct('placed', transform(state.placed, (n, j) -> n + if(j = p.j, 1L, 0L)),
+                            'slots', state.slots || array(named_struct('deadline', p.deadline, 'k', p.k, 'nth', p.nth))))[0])),
+    run -> named_struct('placed', run.placed, 'runs', done.runs || array(run.slots)))[0],
+  done -> done.runs)),
+  s -> named_struct('source', shares[s.k].source, 'share', shares[s.k].share, 'nth', s.nth, 'deadline', s.deadline))
+""".replace("RUN", "1024L")
+
+
+def _share(shares: Mapping[str, int], default_share: int) -> Column:
     share = F.lit(default_share).cast("long")
     for name, q in sorted(shares.items()):
         share = F.when(F.col("source") == name, F.lit(q).cast("long")).otherwise(share)
-    every = sources.select("source").distinct().select("source", share.alias("share"))
+    return share
+
+
+def period(sources: DataFrame, shares: Mapping[str, int], default_share: int = 1) -> DataFrame:
+    """source, share, total, slot, nth, deadline: what stands in each of the Q slots of one period, Q = the sum of the sources' shares. Of equal deadlines the first source by name goes. It is one row's fold, in time of Q times the number of different shares and memory of Q."""
+    every = sources.select("source").distinct().select("source", _share(shares, default_share).alias("share"))
     one = every.agg(F.sort_array(F.collect_list(F.struct("source", "share"))).alias("shares"), F.sum("share").alias("total")).where("total > 0")
-    slots = one.select("shares", "total", F.posexplode(F.expr(PERIOD)).alias("slot", "s"))
-    own = F.expr("shares[s.k]")
-    return slots.select(own["source"].alias("source"), own["share"].alias("share"), "total", F.col("slot").cast("long").alias("slot"), "s.nth", "s.deadline")
+    kinds = F.expr("transform(array_distinct(shares.share), q -> filter(transform(shares, (s, k) -> named_struct('share', s.share, 'k', k)), x -> x.share = q))")
+    classes = F.transform(kinds, lambda m: F.struct(m[0]["share"].alias("share"), F.size(m).cast("long").alias("size"), m["k"].alias("members")))
+    one = one.agg(*(F.first(c).alias(n) for n, c in (("shares", "shares"), ("total", "total"), ("classes", classes))))  # so that the fold reads classes, and does not make them for each slot
+    slots = one.select("total", F.posexplode(F.expr(PERIOD)).alias("slot", "s"))
+    return slots.select("s.source", "s.share", "total", F.col("slot").cast("long").alias("slot"), "s.nth", "s.deadline")
 
 
 def schedule(docs: DataFrame, shares: Mapping[str, int], default_share: int = 1, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -68,11 +80,16 @@ def schedule(docs: DataFrame, shares: Mapping[str, int], default_share: int = 1,
     rows = rows.join(sums, F.col("source").eqNullSafe(F.col("_source")) & (F.col("bucket") == F.col("_bucket")))
     order = Window.partitionBy("source", "bucket").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("begins", F.col("before") + F.sum("size").over(order) - F.col("size")).withColumn("block", F.expr(f"begins div {int(block_chars)}"))
-    cycle = period(docs, shares, default_share)
-    share = cycle.select(F.col("source").alias("_s"), "share", "total").distinct()
-    rows = rows.select("doc_id", "source", "begins", "block").join(F.broadcast(share), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    cycle = staged(docs.sparkSession, period(docs, shares, default_share), "period")
+    rows = rows.select("source", "doc_id", "begins", "block", _share(shares, default_share).alias("share")).crossJoin(F.broadcast(cycle.agg(F.max("total").alias("total"))))
     cycle = cycle.select(F.col("source").alias("_s"), "nth", F.col("slot").alias("_slot"), F.col("deadline").alias("_deadline"))
-    out = rows.join(F.broadcast(cycle), F.col("source").eqNullSafe(F.col("_s")) & (F.col("block") % F.col("share") == F.col("nth")))
+    on = F.col("source").eqNullSafe(F.col("_s")) & (F.col("block") % F.col("share") == F.col("nth"))
+    if cycle.count() <= BROADCAST_SLOTS:
+        cycle = F.broadcast(cycle)
+    else:  # dealt by source and place in the period, and a source's turns over SALTS parts, as one place may hold most rows
+        cycle = cycle.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        on = on & (F.expr(f"(block div share) % {SALTS}") == F.col("_salt"))
+    out = rows.join(cycle, on)
     turn = F.expr("(block div share) * total")
     return out.select("doc_id", "source", "block", F.expr("block * total div share").alias("release"), (turn + F.col("_deadline")).alias("deadline"), (turn + F.col("_slot")).alias("slot"), "begins")
 

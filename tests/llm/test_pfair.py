@@ -1,3 +1,4 @@
+import heapq
 import random
 from fractions import Fraction
 
@@ -60,3 +61,34 @@ def test_mixed_keeps_rows_columns_and_order(spark):
 
 def test_empty_table(spark):
     assert pfair.schedule(docs_of(spark, []), {}).count() == 0 == pfair.mixed(docs_of(spark, []), {}).count()
+
+
+def plain_period(shares):
+    """Earliest deadline first, slot by slot, with a heap; of equal deadlines the first source goes."""
+    total, waiting, ready, out = sum(shares), [(0, k, 0) for k in range(len(shares))], [], []
+    heapq.heapify(waiting)
+    for slot in range(total):
+        while waiting and waiting[0][0] <= slot:
+            _, k, nth = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-(nth + 1) * total // shares[k]), k, nth))
+        deadline, k, nth = heapq.heappop(ready)
+        out.append((slot, k, nth, deadline))
+        heapq.heappush(waiting, ((nth + 1) * total // shares[k], k, nth + 1))
+    return out
+
+
+@pytest.mark.parametrize("n", [7, 5000])
+def test_period_of_many_sources_equals_a_plain_one(spark, n):
+    rng = random.Random(n)
+    shares = [rng.choice([1, 1, 1, 2, 3, 8]) if n < 100 else 40 if k in (3, 4, 99) else 7 if k == 50 else 1 for k in range(n)]
+    sources = spark.createDataFrame([(f"s{k:05}",) for k in range(n)], "source string")
+    got = pfair.period(sources, {f"s{k:05}": q for k, q in enumerate(shares) if q > 1}).collect()
+    assert sorted((r.slot, int(r.source[1:]), r.nth, r.deadline) for r in got) == plain_period(shares)
+
+
+def test_same_rows_without_broadcast(spark, monkeypatch):
+    rng = random.Random(5)
+    docs = docs_of(spark, [(i, "x" * rng.randrange(300), rng.choice(["a"] * 6 + ["b", "c", None])) for i in range(2000)])
+    want = sorted(map(tuple, pfair.schedule(docs, {"a": 3, "b": 2}, block_chars=400).collect()), key=str)
+    monkeypatch.setattr(pfair, "BROADCAST_SLOTS", 0)
+    assert sorted(map(tuple, pfair.schedule(docs, {"a": 3, "b": 2}, block_chars=400).collect()), key=str) == want and len(want) == 2000
