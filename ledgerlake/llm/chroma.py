@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import staged, table, thrifty
+from ._common import BROADCAST_ROWS, staged, table, thrifty
 
 RATE, FRAME, HOP = 5512, 1024, 512
 LOW_HZ, HIGH_HZ = 100.0, 2500.0
@@ -28,6 +28,8 @@ STEPS = (-0.3, 0.1, 0.45)  # of the quantiser, in log ratio; none at 0, where tw
 SEED_GAP = 2
 LEAST_OVERLAP, MOST_ERRORS = 16, 0.05
 QUERY_EVERY = 20
+PAIRS_A_TASK = 1 << 22
+ROWS_A_TASK = 2048  # of vectors to render
 
 
 def _filters() -> list[tuple[np.ndarray, int, int, int, int]]:
@@ -127,6 +129,20 @@ def _seeds(classes: DataFrame) -> DataFrame:
     return classes.select("class_id", "ints").mapInArrow(thrifty(run), "class_id long, value long, place int")
 
 
+def _meetings(asked: DataFrame, seeds: DataFrame) -> DataFrame:
+    """All pairs of a query's seed and an equal seed of any class. A value whose pairs are over PAIRS_A_TASK is dealt over several parts by the class that holds it, and its queries go to each of these, so that no task has a common value whole."""
+    counted = asked.groupBy("value").agg(F.count(F.lit(1)).alias("asked")).join(seeds.groupBy("value").agg(F.count(F.lit(1)).alias("held")), "value")
+    hot = counted.where(F.col("asked") * F.col("held") > PAIRS_A_TASK).select("value", F.least(F.expr(f"asked * held div {PAIRS_A_TASK} + 1"), F.col("held")).alias("parts"))
+    hot = staged(asked.sparkSession, hot, "hot")
+    if hot.isEmpty():
+        return asked.join(seeds, "value")
+    hot = F.broadcast(hot) if hot.count() <= BROADCAST_ROWS else hot
+    parts = F.coalesce("parts", F.lit(1))
+    dealt = seeds.join(hot, "value", "left").withColumn("part", F.pmod(F.xxhash64("class_id", "place"), parts)).drop("parts")
+    copies = asked.join(hot, "value", "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("parts")
+    return copies.join(dealt, ["value", "part"]).drop("part")
+
+
 def overlap(a: np.ndarray, b: np.ndarray, offset: int) -> tuple[int, float]:
     """How many integers overlap if b begins offset after a, and the share of differing bits."""
     lo, hi = max(0, offset), min(len(a), offset + len(b))
@@ -152,8 +168,8 @@ def align(media: DataFrame, query_every: int = QUERY_EVERY) -> DataFrame:
     classes = able.groupBy("class_key").agg(F.min("id").alias("class_id"), F.first("ints").alias("ints"), F.max((F.col("id") % query_every == 0).cast("int")).alias("asks"))
     classes = staged(spark, classes, "classes")
     seeds = staged(spark, _seeds(classes), "seeds")
-    asked = seeds.join(classes.where("asks = 1").select("class_id"), "class_id", "left_semi").toDF("q", "value", "q_place")
-    votes = asked.join(seeds, "value").where("q != class_id").groupBy("q", F.col("class_id").alias("r"), (F.col("q_place") - F.col("place")).alias("frames")).agg(F.count(F.lit(1)).alias("votes"))
+    asked = staged(spark, seeds.join(classes.where("asks = 1").select("class_id"), "class_id", "left_semi").toDF("q", "value", "q_place"), "asked")
+    votes = _meetings(asked, seeds).where("q != class_id").groupBy("q", F.col("class_id").alias("r"), (F.col("q_place") - F.col("place")).alias("frames")).agg(F.count(F.lit(1)).alias("votes"))
     best = votes.groupBy("q", "r").agg(F.max(F.struct("votes", -F.abs("frames"), -F.col("frames"), "frames")).alias("top")).select("q", "r", "top.frames", "top.votes")
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,7 +206,9 @@ def rendered(vectors: DataFrame) -> DataFrame:
                 pcm = [None if v is None else tones(np.array(v, float), (i or 0) % 5).tobytes() for i, v in zip(part["id"].to_pylist(), part["vector"].to_pylist())]
                 yield pa.RecordBatch.from_arrays([part["id"], pa.array(pcm, pa.binary())], ["id", "pcm"])
 
-    return vectors.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("vector")).mapInArrow(thrifty(run), "id long, pcm binary")
+    rows = vectors.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
+    rows = rows.repartition(vectors.count() // ROWS_A_TASK + 1)  # a row is small and its sound is long: files say nothing of the work
+    return rows.mapInArrow(thrifty(run), "id long, pcm binary")
 
 
 def op2_chroma_align(spark: SparkSession, sf_dir: str) -> DataFrame:
