@@ -32,8 +32,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of the best segmentation, scores of the best few, whether decoding gives the text back, and slot and begins: the mixed stream is in order of (slot, begins, doc_id), whatever files docs came from."""
-    return pfair.placed(pieces.segment(docs), docs, pfair.SHARES)
+    """Piece ids of the best segmentation, scores of the best few, whether decoding them gives the text back, and slot and begins: the mixed stream is in order of (slot, begins, doc_id), whatever files docs came from."""
+    return pfair.placed(pieces.segment(docs).drop("other_ids"), docs, pfair.SHARES)
 
 
 STAGES: list[tuple[str, Stage]] = [

@@ -19,9 +19,11 @@ from __future__ import annotations
 import gc
 import heapq
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 from itertools import chain, count
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +36,8 @@ from ._common import CACHES, coded_chunks, gathered, slices, table, text_or_empt
 BLANK = "▁"
 UNKNOWN = 10.0
 N = 4
-MOST_CACHED, LONGEST_CACHED, SHORT = 550_000, 64, 40  # chunks kept, and characters of one: so the caches are bounded in bytes, whatever the script
+MOST_CACHED, LONGEST_CACHED, SHORT = 700_000, 64, 40  # chunks and parts kept, and characters of one: so the caches are bounded in bytes, whatever the script
+SLICE_BYTES, MOST_IDS = 1 << 22, 1 << 19  # of texts taken at once: the more, the fewer chunks are looked up again; ids after which rows are handed on
 _PARTS = re.compile(f"{BLANK}*[^{BLANK}\n]+|\n|{BLANK}+")
 
 Path = tuple[float, tuple[int, ...]]
@@ -97,7 +100,7 @@ class Lattice:
 
     def firsts(self, texts: list[str]) -> Iterator[tuple[tuple[int, ...], float, float]]:
         """Of each text the best ids, their score, and what the second path loses (infinite if there is none): a forward pass that keeps the two best scores up to each position. What it finds up to a position depends on the text before only, so that sorted texts share the work of their common beginnings."""
-        never = -np.inf
+        never, endings, pieces = -np.inf, self.endings, self.pieces
         best, second, back, before = [0.0], [never], [(0, 0)], ""
         for text in texts:
             n, shared = len(text), 0
@@ -107,7 +110,7 @@ class Lattice:
                 shared += 1
             del best[shared + 1 :], second[shared + 1 :], back[shared + 1 :]
             for j in range(shared + 1, n + 1):
-                one, two, way, node, i = never, never, (j - 1, -1), self.endings, j
+                one, two, way, node, i = never, never, (j - 1, -1), endings, j
                 while i:
                     step = node.get(text[i - 1])
                     if step is None:
@@ -122,7 +125,7 @@ class Lattice:
                             one, way = gained, (i, edge[0])
                         elif gained > two:
                             two = gained
-                if text[j - 1] not in self.pieces:
+                if text[j - 1] not in pieces:
                     gained = best[j - 1] + self.least
                     if gained > one:
                         two = max(one, second[j - 1] + self.least)
@@ -135,7 +138,10 @@ class Lattice:
             ids, j = [], n
             while j:
                 i, own = back[j]
-                ids += (own,) if own >= 0 else self._fallback(text[i])[::-1]
+                if own >= 0:
+                    ids.append(own)
+                else:
+                    ids += self._fallback(text[i])[::-1]
                 j = i
             yield tuple(reversed(ids)), best[n], best[n] - second[n]
             before = text
@@ -177,12 +183,16 @@ class Lattice:
         """Parts that no piece joins. Words are left whole; that costs nothing but a larger lattice."""
         if chunk[1:].isalpha():
             return [chunk]
-        at = [0, *(k for k in range(1, len(chunk)) if chunk[k - 1 : k + 1] not in self.joined), len(chunk)]
+        joined = self.joined
+        at = [0, *[k for k, pair in enumerate(map(add, chunk, chunk[1:]), 1) if pair not in joined], len(chunk)]
         return [chunk[a:b] for a, b in zip(at, at[1:])]
 
+    def bytes_of(self, ids: np.ndarray) -> bytes:
+        return gathered(self.shown, self.starts[ids], self.lengths[ids]).tobytes()
+
     def decode(self, ids: np.ndarray) -> bytes:
         """The text of whole ids, without the blank set before it."""
-        out = gathered(self.shown, self.starts[ids], self.lengths[ids]).tobytes()
+        out = self.bytes_of(ids)
         return out[1:] if out[:1] == b" " else out
 
 
@@ -197,38 +207,54 @@ def joined_chunks(column: pa.Array) -> pa.Array:
     return out
 
 
-def merge(lists: list[list[Path]], n: int) -> list[tuple[float, tuple[int, ...]]]:
+def merge(lists: list[list[tuple]], n: int) -> list[tuple[float, tuple[int, ...]]]:
     """The n best sums of one choice from each list: score and which was chosen of each."""
     out: list[tuple[float, tuple[int, ...]]] = [(0.0, ())]
     for options in lists:
-        out = heapq.nsmallest(n, ((a - s, c + (k,)) for a, c in out for k, (s, _) in enumerate(options)))
+        out = sorted((a - option[0], c + (k,)) for a, c in out for k, option in enumerate(options))[:n]
     return [(-a, c) for a, c in out]
 
 
 class Segmenter:
-    """N best segmentations of many texts; what it finds of a chunk it keeps, up to MOST_CACHED of them."""
+    """N best segmentations of many texts. What it finds of a chunk or a part it keeps: when half of MOST_CACHED were found or used again since the last time, those before go."""
 
     def __init__(self, path: str, n: int = N):
         self.lattice, self.n = Lattice(path), n
-        self.firsts: dict[str, tuple[bytes, float, float]] = {"": (b"", 0.0, np.inf)}
-        self.parts: dict[str, tuple[tuple[int, ...], float, float]] = {}
-        self.searched: dict[str, list[Path]] = {}
+        self.known: dict[str, tuple[bytes, float, float]] = {"": (b"", 0.0, np.inf)}
+        self.older: dict[str, tuple[bytes, float, float]] = {}
+        self.searched: dict[str, tuple[list[tuple[float, np.ndarray]], bool]] = {}
 
     def _learn(self, new: list[str]) -> None:
-        cut = [self.lattice.cut(c) for c in new]
-        parts = sorted(set(chain.from_iterable(cut)) - self.parts.keys())
-        self.parts.update(zip(parts, self.lattice.firsts(parts)))
-        for chunk, own in zip(new, cut):
-            got = [self.parts[p] for p in own]
-            ids = got[0][0] if len(got) == 1 else tuple(chain.from_iterable(g[0] for g in got))
-            self.firsts[chunk] = np.array(ids, "<u4").tobytes(), sum(g[1] for g in got), min(g[2] for g in got)
-
-    def best(self, chunk: str) -> list[Path]:
-        """The n best paths of one chunk; those of short ones are kept."""
+        """Makes new known: as far as it was not, from its parts."""
+        known, older, cut, parts = self.known, self.older, {}, set()
+        for chunk in new:
+            if chunk in older:
+                known[chunk] = older[chunk]
+                continue
+            own = self.lattice.cut(chunk)
+            parts.update(own)
+            if len(own) > 1:
+                cut[chunk] = own
+        parts -= known.keys()
+        again = parts & older.keys()
+        known.update((p, older[p]) for p in again)
+        parts = sorted(parts - again)
+        for p, (ids, score, loss) in zip(parts, self.lattice.firsts(parts)):
+            known[p] = struct.pack(f"<{len(ids)}I", *ids), score, loss
+        for chunk, own in cut.items():
+            blobs, scores, losses = zip(*[known[p] for p in own])
+            known[chunk] = b"".join(blobs), sum(scores), min(losses)
+        for x in (x for xs in (cut, parts) for x in xs if len(x) > LONGEST_CACHED):
+            self.passing.append(x)
+
+    def best(self, chunk: str) -> tuple[list[tuple[float, np.ndarray]], bool]:
+        """The n best paths of one chunk, and whether each decodes to it; those of short ones are kept."""
         if chunk in self.searched:
             return self.searched[chunk]
         options = [self.lattice.search(part, self.n) for part in self.lattice.cut(chunk)]
-        out = [(s, tuple(chain.from_iterable(o[k][1] for o, k in zip(options, c)))) for s, c in merge(options, self.n)]
+        paths = [(s, np.array(tuple(chain.from_iterable(o[k][1] for o, k in zip(options, c))), "<u4")) for s, c in merge(options, self.n)]
+        text = chunk.replace(BLANK, " ").encode("utf-8", "surrogatepass")
+        out = paths, all(self.lattice.bytes_of(ids) == text for _, ids in paths)
         if len(chunk) <= SHORT:
             if len(self.searched) >= MOST_CACHED // 10:
                 self.searched.clear()
@@ -237,22 +263,23 @@ class Segmenter:
 
     def texts(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, list[tuple[float, int]]]]:
         """Of each text: the ids of the best segmentation; score and crc32 of the ids of each of the n best."""
+        for paths, scores, _ in self.paths(texts):
+            yield paths[0], [(s, zlib.crc32(ids)) for s, ids in zip(scores, paths)]
+
+    def paths(self, texts: pa.Array) -> Iterator[tuple[list[np.ndarray], list[float], bool]]:
+        """Of each text: ids and scores of each of the n best segmentations, and whether all others decode to what the best decodes to if that is the text."""
         gc.disable()
         try:
-            if len(self.firsts) > MOST_CACHED or len(self.parts) > MOST_CACHED:
-                self.firsts, self.parts = {"": (b"", 0.0, np.inf)}, {}
+            if len(self.known) > MOST_CACHED // 2:
+                self.known, self.older = {"": (b"", 0.0, np.inf)}, self.known
             chunks, numbers, rows = coded_chunks(joined_chunks(texts))
-            found = list(map(self.firsts.get, chunks))
+            found = list(map(self.known.get, chunks))
             if None in found:
-                new = [c for c, got in zip(chunks, found) if got is None]
-                self._learn(new)
-                found = list(map(self.firsts.__getitem__, chunks))
-                for c in new:
-                    if len(c) > LONGEST_CACHED:
-                        del self.firsts[c]
-                        for part in self.lattice.cut(c):
-                            if len(part) > LONGEST_CACHED:
-                                self.parts.pop(part, None)
+                self.passing: list[str] = []
+                self._learn([c for c, got in zip(chunks, found) if got is None])
+                found = list(map(self.known.__getitem__, chunks))
+                for x in self.passing:
+                    self.known.pop(x, None)
         finally:
             gc.enable()
         blobs, scores, losses = zip(*found) if found else ((), (), ())
@@ -263,22 +290,27 @@ class Segmenter:
         scores, losses = np.array(scores)[numbers], np.array(losses)[numbers]
         few = self.n - 1
         for a, b in zip(rows[:-1].tolist(), rows[1:].tolist()):
-            own, loss = ids[starts[a] : starts[b]], losses[a:b]
-            ranked = [(float(scores[a:b].sum()), zlib.crc32(own))]
+            loss = losses[a:b]
+            paths, sums, alike = [ids[starts[a] : starts[b]]], [float(scores[a:b].sum())], True
             pick = np.arange(min(len(loss), few))
             if len(loss) > few > 0:  # those below the last of the smallest, then its equals in order
                 last = np.partition(loss, few - 1)[few - 1]
                 pick = np.sort(np.concatenate((np.flatnonzero(loss < last), np.flatnonzero(loss == last)))[:few])
             pick = [int(k) for k in pick if np.isfinite(loss[k])]
-            options = [self.best(chunks[numbers[a + k]]) for k in pick]
-            base = ranked[0][0] - sum(o[0][0] for o in options)
+            options = []
+            for k in pick:
+                own, same = self.best(chunks[numbers[a + k]])
+                options.append(own)
+                alike = alike and same
+            base = sums[0] - sum(o[0][0] for o in options)
             for score, choice in merge(options, self.n)[1:]:
-                crc, done = 0, starts[a]
+                parts, done = [], starts[a]
                 for k, o, c in zip(pick, options, choice):
-                    crc = zlib.crc32(ids[done : starts[a + k]], crc)
-                    crc, done = zlib.crc32(np.array(o[c][1], "<u4"), crc), starts[a + k + 1]
-                ranked.append((base + score, zlib.crc32(ids[done : starts[b]], crc)))
-            yield own, ranked
+                    parts += ids[done : starts[a + k]], o[c][1]
+                    done = starts[a + k + 1]
+                paths.append(np.concatenate([*parts, ids[done : starts[b]]]))
+                sums.append(base + score)
+            yield paths, sums, alike
 
 
 _SEGMENTERS: dict[tuple[str, int], Segmenter] = {}
@@ -295,32 +327,41 @@ def segmenter(path: str | None, n: int) -> Segmenter:
     return _SEGMENTERS[path, n]
 
 
+def lists_of(lists: list[np.ndarray]) -> pa.ListArray:
+    offsets = pa.array(np.cumsum([0, *map(len, lists)]), pa.int32())
+    return pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([*lists, np.zeros(0, "<u4")]).view(np.int32)))
+
+
 def segment(docs: DataFrame, model_path: str | None = None, n: int = N) -> DataFrame:
-    """One row per row of docs: doc_id, n_pieces, ids of the best segmentation, scores and crc32s (of ids as little-endian u32) of up to n best ones, best first, and decoded: whether the best decodes to the text, byte for byte.
+    """One row per row of docs: doc_id, n_pieces, ids of the best segmentation, scores and crc32s (of ids as little-endian u32) of up to n best ones, best first, decoded: whether each of them decodes to the text, byte for byte, and other_ids: whole ids of the second best and those after it.
 
     Null counts as empty: no pieces, one segmentation of score 0. Equal scores stand in order of
     where the texts' parts first differ. A text that holds U+2581 itself decodes to blanks there, so
     decoded is false. Other columns are not read.
     """
 
+    def row_batch(doc_ids: pa.Array, rows: list[tuple[list[np.ndarray], list[float], bool]]) -> pa.RecordBatch:
+        best = [paths[0] for paths, _, _ in rows]
+        others = lists_of([x for paths, _, _ in rows for x in paths[1:]])
+        crcs = [list(map(zlib.crc32, paths)) for paths, _, _ in rows]
+        more = pa.array(np.cumsum([0, *(len(paths) - 1 for paths, _, _ in rows)]), pa.int32())
+        return pa.RecordBatch.from_arrays([doc_ids, pa.array(list(map(len, best)), pa.int64()), lists_of(best), pa.array([x for _, x, _ in rows], pa.list_(pa.float64())), pa.array(crcs, pa.list_(pa.int64())), pa.array([x for _, _, x in rows]), pa.ListArray.from_arrays(more, others)], ["doc_id", "n_pieces", "ids", "scores", "crc32s", "decoded", "other_ids"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = segmenter(model_path, n)
         for batch in batches:
-            for lo, hi in slices(batch["text"], 1 << 21):
+            for lo, hi in slices(batch["text"], SLICE_BYTES):
                 texts = batch["text"][lo:hi]
-                ids, scores, crcs, same, size = [], [], [], [], []
                 data, offs = utf8_view(texts)
-                for a, b, (own, ranked) in zip(offs[:-1].tolist(), offs[1:].tolist(), s.texts(texts)):
-                    ids.append(own)
-                    size.append(len(own))
-                    scores.append([x for x, _ in ranked])
-                    crcs.append([x for _, x in ranked])
-                    same.append(s.lattice.decode(own) == data[a:b].tobytes())
-                offsets = pa.array(np.concatenate(([0], np.cumsum(size))), pa.int32())
-                lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([*ids, np.zeros(0, "<u4")]).astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([batch["doc_id"][lo:hi], pa.array(size, pa.int64()), lists, pa.array(scores, pa.list_(pa.float64())), pa.array(crcs, pa.list_(pa.int64())), pa.array(same)], ["doc_id", "n_pieces", "ids", "scores", "crc32s", "decoded"])
-
-    schema = "doc_id long, n_pieces long, ids array<int>, scores array<double>, crc32s array<long>, decoded boolean"
+                held, size = [], 0
+                for k, (paths, sums, alike) in enumerate(s.paths(texts), 1):
+                    held.append((paths, sums, alike and s.lattice.decode(paths[0]) == data[offs[k - 1] : offs[k]].tobytes()))
+                    size += sum(map(len, paths))
+                    if size >= MOST_IDS or k == hi - lo:
+                        yield row_batch(batch["doc_id"][lo + k - len(held) : lo + k], held)
+                        held, size = [], 0
+
+    schema = "doc_id long, n_pieces long, ids array<int>, scores array<double>, crc32s array<long>, decoded boolean, other_ids array<array<int>>"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(thrifty(run), schema)
 
 

@@ -81,6 +81,20 @@ def test_caches_are_bounded(monkeypatch):
         assert [r for _, r in s.texts(pa.array([t]))] == [r for _, r in fresh.texts(pa.array([t]))]
 
 
+@pytest.mark.parametrize("n", [1, 4])
+def test_ids_of_all_n_best(spark, lattice, n, monkeypatch):
+    monkeypatch.setattr(pieces, "MOST_IDS", 20)
+    texts = [*TEXTS, None, "", "the " * 5000 + "cat"]
+    docs = spark.createDataFrame([(i, t, "x", 1) for i, t in enumerate(texts)], SCHEMA)
+    for text, r in zip(texts, pieces.segment(docs, n=n).collect()):
+        paths = [list(r.ids), *map(list, r.other_ids)]
+        assert [zlib.crc32(np.array(p, "<u4").tobytes()) for p in paths] == list(r.crc32s) and len(r.scores) == len(paths) <= n
+        assert all((lattice.decode(np.array(p, int)).decode() == (text or "")) == r.decoded for p in paths)
+        if len(text or "") < 20:
+            every = brute(lattice, text, 10**6)
+            assert len(paths) == min(n, len(every)) and all((s, tuple(p)) in every for s, p in zip(r.scores, paths))
+
+
 def test_whole_documents(spark):
     sf = "/root/testdata/sf0.001"
     text = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
