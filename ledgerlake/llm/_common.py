@@ -160,7 +160,7 @@ def coded_chunks(column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     lists = pc.split_pattern(column, " ")
     coded = lists.flatten().dictionary_encode()
     offs = np.asarray(lists.offsets)
-    return coded.dictionary.to_pylist(), np.asarray(coded.indices), offs - offs[0]
+    return coded.dictionary.to_numpy(zero_copy_only=False).tolist(), np.asarray(coded.indices), offs - offs[0]
 
 
 def gathered(pool: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:

@@ -64,6 +64,7 @@ class Lattice:
                 shown[i] = " ⁇ ".encode()
         self.least = min((s for _, s in self.pieces.values()), default=0.0) - UNKNOWN
         self.joined = {p[k : k + 2] for p in self.pieces for k in range(len(p) - 1)}
+        self.longest = max(map(len, self.pieces), default=1)
         # By first and by last character: what follows, and id and score of the piece that is whole there or None.
         self.trie, self.endings = self._tree(lambda p: p), self._tree(lambda p: p[::-1])
         # All pieces' bytes in a row, for decoding.
@@ -100,7 +101,7 @@ class Lattice:
 
     def firsts(self, texts: list[str]) -> Iterator[tuple[tuple[int, ...], float, float]]:
         """Of each text the best ids, their score, and what the second path loses (infinite if there is none): a forward pass that keeps the two best scores up to each position. What it finds up to a position depends on the text before only, so that sorted texts share the work of their common beginnings."""
-        never, endings, pieces = -np.inf, self.endings, self.pieces
+        never, endings, pieces, longest = -np.inf, self.endings, self.pieces, self.longest
         best, second, back, before = [0.0], [never], [(0, 0)], ""
         for text in texts:
             n, shared = len(text), 0
@@ -111,12 +112,11 @@ class Lattice:
             del best[shared + 1 :], second[shared + 1 :], back[shared + 1 :]
             for j in range(shared + 1, n + 1):
                 one, two, way, node, i = never, never, (j - 1, -1), endings, j
-                while i:
-                    step = node.get(text[i - 1])
-                    if step is None:
+                for char in text[j - 1 : j - 1 - longest if j > longest else None : -1]:
+                    if char not in node:
                         break
                     i -= 1
-                    node, edge = step
+                    node, edge = node[char]
                     if edge:
                         gained = best[i] + edge[1]
                         if gained >= one:

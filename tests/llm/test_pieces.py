@@ -95,6 +95,17 @@ def test_ids_of_all_n_best(spark, lattice, n, monkeypatch):
             assert len(paths) == min(n, len(every)) and all((s, tuple(p)) in every for s, p in zip(r.scores, paths))
 
 
+def test_chunks_in_use_outlive_full_caches(monkeypatch):
+    monkeypatch.setattr(pieces, "MOST_CACHED", 12)
+    s, learnt = pieces.Segmenter(PATH), []
+    firsts = s.lattice.firsts
+    s.lattice.firsts = lambda parts: learnt.extend(parts) or firsts(parts)
+    for k in range(40):
+        list(s.texts(pa.array([f"the cat {chr(97 + k % 26)}{chr(97 + k // 26)}x sat"])))
+        assert len(s.known) + len(s.older) <= 24
+    assert sorted(c for c in learnt if c in ("▁the", "▁cat", "▁sat")) == ["▁cat", "▁sat", "▁the"]
+
+
 def test_whole_documents(spark):
     sf = "/root/testdata/sf0.001"
     text = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
