@@ -170,8 +170,9 @@ class _Encoder:
         self.words = Tokenizer.from_file(path)  # for words that the normaliser leaves as they are
         self.words.normalizer = None
         self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        # When half of MOST_CACHED were found or used again since the last time, those before go.
         self.known: dict[str, bytes] = {"": b""}
-        self.derived: list[str] = []
+        self.older: dict[str, bytes] = {}
         self.passing: list[str] = []
 
     def _encode(self, new: set[str]) -> None:
@@ -191,8 +192,11 @@ class _Encoder:
                 self.known[x] = np.array(e.ids, "<u4").tobytes()
 
     def _learn(self, chunks: list[str]) -> None:
-        parts, need = {}, set()
+        parts, need, known, older = {}, set(), self.known, self.older
         for x in chunks:
+            if x in older:
+                known[x] = older[x]
+                continue
             if x.isascii() and x.isalpha():
                 core, tail = x.lower(), ""
             else:
@@ -207,17 +211,20 @@ class _Encoder:
                 parts[x] = core, tail
                 need.add(tail)
             need.add(core)
-        self._encode(need - self.known.keys())
-        known = self.known
+        need -= known.keys()
+        again = need & older.keys()
+        known.update((x, older[x]) for x in again)
+        self._encode(need - again)
         for x, (core, tail) in parts.items():
             known[x] = known[core] + known[tail]
-        self.derived += parts
         self.passing += [x for x in need | parts.keys() if len(x) > LONGEST_CACHED]
 
     def ids(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, end_id after each, and how many each has."""
         gc.disable()  # of the many objects made here none is in a cycle
         try:
+            if len(self.known) > MOST_CACHED // 2:
+                self.known, self.older = {"": b""}, self.known
             for space in "\n\t":
                 texts = pc.replace_substring(texts, space, " ")
             chunks, numbers, rows = coded_chunks(texts)
@@ -228,12 +235,6 @@ class _Encoder:
                 for x in self.passing:
                     self.known.pop(x, None)
                 self.passing = []
-            if len(self.known) > MOST_CACHED:
-                for x in self.derived:
-                    self.known.pop(x, None)
-                self.derived = []
-                if len(self.known) > MOST_CACHED * 3 // 4:
-                    self.known = {"": b""}
         finally:
             gc.enable()
         own.append(np.array([end_id], "<u4").tobytes())

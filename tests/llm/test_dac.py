@@ -45,6 +45,18 @@ def test_cache_is_bounded(monkeypatch):
         assert e.ids(pa.array([t]), 1)[0].tolist() == expected([t])[0]
 
 
+def test_chunks_in_use_outlive_full_caches(monkeypatch):
+    monkeypatch.setattr(dac, "MOST_CACHED", 12)
+    e, asked = dac._Encoder(__import__("public_tokenizers").path("word_bpe_49k.json")), []
+    encode = e._encode
+    e._encode = lambda new: asked.extend(new) or encode(new)
+    for k in range(40):
+        t = f"The cat, {chr(97 + k % 26)}{chr(97 + k // 26)}x sat"
+        assert e.ids(pa.array([t]), 1)[0].tolist() == expected([t])[0]
+        assert len(e.known) + len(e.older) <= 32
+    assert sorted(x for x in asked if x in ("the", "cat", "sat")) == ["cat", "sat", "the"]
+
+
 def test_empty_table(spark):
     path = fresh_path(spark, "t")
     dac.write_tokens(spark, spark.createDataFrame([], "doc_id long, text string"), path)
