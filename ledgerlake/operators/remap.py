@@ -9,7 +9,7 @@ from ..functions.running import running_sum
 from ..plans.work import staged
 from ..sources.schema import RANGE_DELETE_ROWS
 from .refcount import ORDER, current, deltas, freed
-from .state import VALUE, with_previous
+from .state import KEY, VALUE, with_previous
 
 
 def outcomes(log: DataFrame, snapshots: DataFrame | None = None) -> DataFrame:
@@ -51,20 +51,48 @@ def guarded(log: DataFrame, snapshots: DataFrame | None = None) -> DataFrame:
     All are taken first; each round counts references under what the round before decided and
     decides again. The earliest guard that is not yet right is right from then on, so rounds end, with the sequential answer: after the
     length of the longest chain of guards of which each decides the next, however long. Every round is written out, so its plan does not grow.
+    Only the first round counts over the whole log. A decision changes counts by its own block's operations alone, so the others make the changes of
+    blocks whose decisions moved again, and count only for guards that all shifts of their address so far could turn.
     """
     spark = log.sparkSession
-    guards = log.where("guard_pba is not null").select(*ORDER, F.col("guard_pba").alias("pba"), F.col("guard_min_rc").cast("long").alias("guard_min_rc"))
-    guards = staged(spark, guards, "probes")
-    probes = guards.select(*ORDER, "pba", F.lit(0).cast("long").alias("delta"), F.lit(0).alias("turn"), "guard_min_rc")
-    decided = staged(spark, guards.select(*ORDER, F.lit(True).alias("applied")), "guards")
+    log = staged(spark, log, "log")
+    guards = log.where("guard_pba is not null").select(*ORDER, *KEY, F.col("guard_pba").alias("pba"), F.col("guard_min_rc").cast("long").alias("guard_min_rc"))
+    changes = staged(spark, deltas(log, snapshots).join(guards.select("pba").distinct(), "pba", "left_semi").select(*ORDER, "pba", "delta"), "changes")
+    seen = staged(spark, _just_before(guards, changes, "rc"), "probes")
+    before, rejected = None, staged(spark, seen.where("rc < guard_min_rc").select(*ORDER, *KEY), "rejected")
+    shifts = None
     while True:
-        rejected = decided.where("not applied").select(*ORDER)
-        changes = deltas(log.join(rejected, ORDER, "left_anti"), snapshots)
-        changes = changes.join(guards.select("pba").distinct(), "pba", "left_semi")
-        changes = changes.select(*ORDER, "pba", "delta", F.lit(1).alias("turn"), F.lit(None).cast("long").alias("guard_min_rc"))
-        seen = running_sum(changes.unionByName(probes), "pba", [*ORDER, "turn"], "delta", "rc").where("turn = 0")
-        now = staged(spark, seen.select(*ORDER, (F.col("rc") >= F.col("guard_min_rc")).alias("applied")), "guards")
-        moved = now.join(decided.withColumnRenamed("applied", "was"), ORDER).where("applied <> was")
-        decided = now
-        if moved.isEmpty():
-            return log.join(decided.where("not applied").select(*ORDER, F.lit(False).alias("_no")), ORDER, "left").withColumn("applied", F.coalesce("_no", F.lit(True))).drop("_no")
+        moved = rejected if before is None else before.unionByName(rejected).groupBy(*ORDER, *KEY).agg(F.count(F.lit(1)).alias("n")).where("n = 1")
+        blocks = staged(spark, moved.select(*(F.col(k).alias(f"_{k}") for k in KEY)).distinct(), "blocks")
+        if blocks.isEmpty():
+            return log.join(rejected.select(*ORDER, F.lit(False).alias("_no")), ORDER, "left").withColumn("applied", F.coalesce("_no", F.lit(True))).drop("_no")
+        shifts = staged(spark, _shifts(log, snapshots, blocks, before, rejected, shifts), "shifts")
+        before, rejected = rejected, staged(spark, _rejected(seen, shifts), "rejected")
+
+
+def _just_before(guards: DataFrame, changes: DataFrame, name: str) -> DataFrame:
+    """guards with the sum of the changes of their address before them."""
+    probes = guards.withColumns({"delta": F.lit(0).cast("long"), "turn": F.lit(0)})
+    rows = probes.unionByName(changes.withColumn("turn", F.lit(1)), allowMissingColumns=True)
+    return running_sum(rows, "pba", [*ORDER, "turn"], "delta", name).where("turn = 0").drop("delta", "turn")
+
+
+def _shifts(log: DataFrame, snapshots: DataFrame | None, blocks: DataFrame, before: DataFrame | None, rejected: DataFrame, shifts: DataFrame | None) -> DataFrame:
+    """lsn, op_seq, pba, delta: shifts (changes under the decisions before, less those with all taken) carried on to the decisions now, which differ in these blocks only."""
+    part = log.join(blocks, F.col("vol_ord").eqNullSafe(F.col("_vol_ord")) & F.col("lba").eqNullSafe(F.col("_lba")), "left_semi")
+    part = staged(log.sparkSession, part, "part")
+    now = deltas(part.join(rejected.select(*ORDER), ORDER, "left_anti"), snapshots)
+    was = deltas(part if before is None else part.join(before.select(*ORDER), ORDER, "left_anti"), snapshots)
+    out = now.unionByName(was.withColumn("delta", -F.col("delta")))
+    out = out if shifts is None else out.unionByName(shifts)
+    return out.groupBy(*ORDER, "pba").agg(F.sum("delta").alias("delta")).where("delta <> 0")
+
+
+def _rejected(seen: DataFrame, shifts: DataFrame) -> DataFrame:
+    """Guards (seen: with rc, the count just before each with all taken) that fail under shifts. Where the least and the greatest shift of the address decide alike, the guard needs no count of its own."""
+    spans = running_sum(shifts, "pba", ORDER, "delta", "upto").groupBy("pba").agg(F.least(F.min("upto"), F.lit(0)).alias("least"), F.greatest(F.max("upto"), F.lit(0)).alias("greatest"))
+    spans = staged(seen.sparkSession, spans, "spans")
+    rows = seen.join(spans, "pba", "left").na.fill(0, ["least", "greatest"]).where("rc + least < guard_min_rc")
+    rows = staged(seen.sparkSession, rows.withColumn("sure", F.expr("rc + greatest < guard_min_rc")).drop("least", "greatest"), "open")
+    counted = _just_before(rows.where("not sure"), shifts, "shift").where("rc + shift < guard_min_rc")
+    return rows.where("sure").unionByName(counted, allowMissingColumns=True).select(*ORDER, *KEY)

@@ -182,6 +182,34 @@ def test_guards_against_the_fold(spark, seed):
     assert {r.lsn: r.applied for r in got.collect()} == want
 
 
+def test_guards_count_the_whole_log_once(spark, monkeypatch):
+    """Later rounds make only the changes of blocks whose decisions moved: here a chain of 4 guards of which each decides the next, beside 60 blocks that none of them touches."""
+    rows = [(k + 1, 0, "L2pRemap", 0, k % 60, k % 7, k, None, None) for k in range(600)]
+    rows += [(601 + k, 0, "L2pRemap", 1, k, 101 + k, 0, 100 + k, 1) for k in range(4)]
+    rows += [(605 + k, 0, "L2pRemap", 1, 9, 110 + k, 0, 104 - k, 1) for k in range(2)]
+    rows += [(607, 0, "L2pRemap", 1, 10, 3, 0, 4, 1)]
+    made, whole = [], remap.deltas
+    monkeypatch.setattr(remap, "deltas", lambda log, snapshots=None: made.append(log.count()) or whole(log, snapshots))
+    got = remap.guarded(spark.createDataFrame(rows, LOG + ", guard_pba long, guard_min_rc long"))
+    f = Fold()
+    want = {lsn: f.apply(lsn, op, vol, lba, (pba, salt), None if guard is None else (guard, least)) for lsn, _, op, vol, lba, pba, salt, guard, least in rows}
+    assert {r.lsn: r.applied for r in got.collect()} == want and sum(not x for x in want.values()) == 6
+    assert made[0] == len(rows) and len(made) >= 9 and max(made[1:]) <= 7
+
+
+def test_guards_that_come_and_go(spark):
+    """Shifts of an address in both directions: an operation left out takes references from one address and leaves another more, by a rejected guard's own block."""
+    rows = [
+        (1, "L2pRemap", 0, 1, 10, 0, None, None), (2, "L2pRemap", 0, 1, 20, 0, 99, 1), (3, "L2pRemap", 0, 2, 30, 0, 20, 1), (4, "L2pRemap", 0, 3, 40, 0, 10, 1),
+        (5, "L2pDelete", 0, 1, None, None, None, None), (6, "L2pRemap", 0, 4, 50, 0, 10, 1), (7, "L2pRemap", 0, 3, 60, 0, 40, 1), (8, "L2pRemap", 0, 5, 70, 0, 40, 1), (9, "L2pRemap", 0, 6, 80, 0, 60, 1),
+    ]
+    got = remap.guarded(spark.createDataFrame([(r[0], 0, *r[1:]) for r in rows], LOG + ", guard_pba long, guard_min_rc long"))
+    f = Fold()
+    want = {r[0]: f.apply(r[0], r[1], r[2], r[3], r[4:6] if r[1] != "L2pDelete" else None, r[6:] if r[6] is not None else None) for r in rows}
+    assert {r.lsn: r.applied for r in got.collect()} == want
+    assert [k for k in want if not want[k]] == [2, 3, 6, 8]
+
+
 def test_many_operations_in_one_record(spark):
     """Ordered by op_seq; a count that passes through zero within a record is reported."""
     rows = [(1, 0, *put(1, 10)), (2, 0, *put(1, 11)), (2, 1, *put(2, 10)), (2, 2, *put(1, 12))]
